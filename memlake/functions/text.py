@@ -32,6 +32,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_space(text: Column | str) -> Column:
     """Strip Unicode white space (not only blanks) from both ends."""
     return F.regexp_replace(_col(text), _OUTER_WS, "")
@@ -44,14 +49,16 @@ def trim_user_key(key: Column | str) -> Column:
 
 def sentences(text: Column | str) -> Column:
     """Trimmed sentences of a trimmed text; the whole text where none ends."""
-    content = trim_space(text)
-    found = F.regexp_extract_all(content, F.lit(_SENTENCE), F.lit(0))
-    units = F.transform(
-        F.when(F.size(found) == 0, F.array(content)).otherwise(found), trim_space
-    )
-    return F.when(content == "", F.array().cast("array<string>")).otherwise(units)
 
+    def split(content: Column) -> Column:
+        return _let(
+            F.regexp_extract_all(content, F.lit(_SENTENCE), F.lit(0)),
+            lambda found: F.when(content == "", F.array().cast("array<string>"))
+            .when(F.size(found) == 0, F.array(content))
+            .otherwise(F.transform(found, trim_space)),
+        )
 
+    return _let(trim_space(text), split)
 
 
 def context_query_text(messages: Column | str, limit: int = CONTEXT_BYTES) -> Column:
@@ -62,39 +69,49 @@ def context_query_text(messages: Column | str, limit: int = CONTEXT_BYTES) -> Co
     the newest ``limit`` non-blank messages can matter: older ones are cut
     off before any sentence is split.
     """
-    messages = _col(messages)
-    spoken = F.filter(messages, lambda m: trim_space(m["content"]) != "")
     depth = max(int(limit), 1)
-    first = F.greatest(F.size(spoken) - F.lit(depth) + 1, F.lit(1))
-    recent = F.slice(spoken, first, F.lit(depth))
-    units = F.flatten(
-        F.transform(
-            recent,
-            lambda m: F.transform(
-                sentences(m["content"]),
-                lambda s, i: F.struct(s.alias("s"), (i == 0).alias("opens")),
-            ),
-        )
-    )
-    newest_first = F.reverse(F.transform(units, lambda u: F.octet_length(u["s"])))
-    state = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("bytes"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("bytes"))
 
-    def step(acc: Column, length: Column) -> Column:
+    def step(acc: Column, unit: Column) -> Column:
         grown = F.struct(
-            (acc["n"] + 1).alias("n"), (acc["bytes"] + length).alias("bytes")
+            (acc["n"] + 1).alias("n"), (acc["bytes"] + F.octet_length(unit["s"])).alias("bytes")
         )
         return F.when((acc["n"] == 0) | (acc["bytes"] < limit), grown).otherwise(acc)
 
-    kept = F.aggregate(newest_first, state, step, lambda acc: acc["n"])
-    tail = F.slice(units, F.size(units) - kept + 1, kept)
+    def newest(spoken: Column) -> Column:
+        return F.slice(
+            spoken, F.greatest(F.size(spoken) - F.lit(depth) + 1, F.lit(1)), F.lit(depth)
+        )
+
+    def split(message: Column) -> Column:
+        return F.transform(
+            sentences(message["content"]),
+            lambda s, i: F.struct(s.alias("s"), (i == 0).alias("opens")),
+        )
+
+    def tail(units: Column) -> Column:
+        kept = F.aggregate(F.reverse(units), start, step, lambda acc: acc["n"])
+        return F.reverse(F.slice(F.reverse(units), F.lit(1), kept))
+
     pieces = F.transform(
-        tail,
+        _let(
+            F.flatten(
+                F.transform(
+                    _let(
+                        F.filter(_col(messages), lambda m: trim_space(m["content"]) != ""),
+                        newest,
+                    ),
+                    split,
+                )
+            ),
+            tail,
+        ),
         lambda u, i: F.concat(
             F.when(i == 0, F.lit("")).when(u["opens"], F.lit("\n")).otherwise(F.lit(" ")),
             u["s"],
         ),
     )
-    return F.when(F.size(units) > 0, F.array_join(pieces, "")).otherwise(F.lit(""))
+    return F.coalesce(F.array_join(pieces, ""), F.lit(""))
 
 
 def fallback_query_text(messages: Column | str, limit: int = FALLBACK_BYTES) -> Column:

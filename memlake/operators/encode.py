@@ -67,11 +67,13 @@ def gather_vectors(
         postings = postings.join(idf, "idx").select(
             "id", "idx", (F.col("w") * F.col("idf")).cast("float").alias("w")
         )
+    # The length is an aggregate of its own: inside the lambda below it would
+    # be worked out again for every element.
     vectors = postings.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("p")
+        F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("p"),
+        F.sqrt(F.sum(F.col("w").cast("double") * F.col("w"))).alias("length"),
     )
-    length = F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    scale = length if normalise else F.lit(1.0)
+    scale = F.col("length") if normalise else F.lit(1.0)
     return vectors.select(
         "id",
         F.struct(

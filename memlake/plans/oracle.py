@@ -270,9 +270,10 @@ FROM {_postings('documents', 'doc_id', 'text')}"""
 
 ORACLE["sparse_encode_idf"] = f"""WITH p AS {_postings('documents', 'doc_id', 'text')},
 f AS (SELECT idx, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS idf FROM p GROUP BY idx),
-x AS (SELECT p.id, (p.w * f.idf)::FLOAT::DOUBLE AS w FROM p JOIN f ON f.idx = p.idx)
-SELECT id AS doc_id, count(*) AS n_terms, round(sum(w) / sqrt(sum(w * w)), 4) AS total
-FROM x GROUP BY id"""
+x AS (SELECT p.id, (p.w * f.idf)::FLOAT::DOUBLE AS w FROM p JOIN f ON f.idx = p.idx),
+n AS (SELECT id, sqrt(sum(w * w)) AS length FROM x GROUP BY id)
+SELECT x.id AS doc_id, count(*) AS n_terms, round(sum((w / length)::FLOAT::DOUBLE), 4) AS total
+FROM x JOIN n ON n.id = x.id GROUP BY x.id"""
 
 ORACLE["encode_plugin"] = f"""WITH p AS {_postings('documents', 'doc_id', 'text')},
 b AS (SELECT id, sum(w::DOUBLE)::FLOAT::DOUBLE AS d, count(*) AS n, sum(w::DOUBLE) AS s
@@ -453,3 +454,47 @@ SELECT request_id, count(*) AS requested, count(*) FILTER (WHERE hit) AS deleted
        count(*) FILTER (WHERE NOT hit) AS missing,
        CASE WHEN bool_or(hit) THEN 'ok' ELSE 'not found' END AS status
 FROM f GROUP BY request_id"""
+
+# -- streams ------------------------------------------------------------------
+
+_LOG = f"""WITH {_STATEMENTS}, cutoff AS (SELECT floor(max(seq) / 2) AS half FROM ev),
+st AS (SELECT *, seq >= (SELECT half FROM cutoff) AS late,
+         count(*) FILTER (WHERE event_type NOT IN ('view', 'error')) OVER (PARTITION BY req_id) = 0
+           AS noise FROM statements),
+homes AS (
+  SELECT user_id, req_id, seq, turn * 4294967296 AS pos, k, late,
+         row_number() OVER (PARTITION BY user_id, late ORDER BY event_id DESC) AS n
+  FROM st WHERE event_type = 'signup'),
+early AS (SELECT * FROM homes WHERE n = 1 AND NOT late),
+moved AS (
+  SELECT l.*, e.user_id IS NOT NULL AS replaces FROM homes l LEFT JOIN early e ON e.user_id = l.user_id
+  WHERE l.n = 1 AND l.late AND (e.user_id IS NULL OR e.k <> l.k)),
+said AS (
+  SELECT user_id, req_id, late, CASE event_type WHEN 'purchase' THEN 'project: project ' || k
+         ELSE 'taste: prefer option ' || k END AS memory_text,
+         CASE event_type WHEN 'purchase' THEN 2 ELSE 4 END AS n_terms
+  FROM st WHERE event_type IN ('purchase', 'click'))"""
+
+ORACLE["stream_apply"] = f"""{_LOG}
+SELECT DISTINCT user_id, {_uuid5('memory_text || user_id')} AS memory_id, memory_text,
+       64 AS dim, n_terms FROM said"""
+ORACLE["stream_core"] = f"""{_LOG}
+SELECT user_id, {_uuid5("req_id || ':' || pos")} AS memory_id, 'location: city ' || k AS memory_text,
+       seq AS ord, pos AS ord_pos
+FROM (SELECT * EXCLUDE (replaces) FROM moved
+      UNION ALL SELECT * FROM early WHERE user_id NOT IN (SELECT user_id FROM moved))"""
+ORACLE["dedup_replay"] = f"""{_LOG}
+SELECT req_id, CASE WHEN any_value(noise) THEN 0 ELSE 1 END AS applied,
+       CASE WHEN any_value(late) THEN 0 ELSE 1 END AS replayed FROM st GROUP BY req_id"""
+_AUDIT = """SELECT count(DISTINCT req_id) AS jobs, 0 AS dead, {replayed} AS replayed,
+  {live} * count(DISTINCT req_id) FILTER (WHERE noise) AS skipped,
+  {live} * count(DISTINCT req_id) FILTER (WHERE NOT noise) AS accepted,
+  {live} * ((SELECT count(*) FROM said WHERE {side} late) + (SELECT count(*) FROM {homes})) AS inserted,
+  {live} * (SELECT count(*) FROM {homes} WHERE {old}) AS deleted,
+  0 AS not_found, 0 AS ignored, 0 AS invalid, {v} AS v FROM st WHERE {side} late"""
+ORACLE["ingest_audit"] = f"""{_LOG}
+{_AUDIT.format(replayed=0, live=1, side='NOT', homes='early', old='false', v=0)}
+UNION ALL
+{_AUDIT.format(replayed=0, live=1, side='', homes='moved', old='replaces', v=1)}
+UNION ALL
+{_AUDIT.format(replayed='count(DISTINCT req_id)', live=0, side='NOT', homes='early', old='false', v=2)}"""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.functions import fallback_query_text
 from memlake.operators.encode import hashed_encoder
 from memlake.sources.store import MemoryStore
 from memlake.sources.workdir import work_dir
@@ -26,12 +27,18 @@ def _line(jobs: DataFrame) -> DataFrame:
     return jobs.select(wire.alias("value"), "seq")
 
 
+def expand(messages: Column) -> Column:
+    """Stands in for a model: nothing but greetings and repair requests is not worth a search."""
+    noise = F.forall(
+        messages, lambda m: m["content"].startswith("Hello") | m["content"].startswith("Fix")
+    )
+    return F.when(noise, "SKIP").otherwise(fallback_query_text(messages))
+
+
 def run_log(spark: SparkSession, sf_dir: str, deliveries: list[str] | None = None) -> MemoryStore:
     """Write all statement jobs to a log, stream the log into a new store.
 
-    Jobs about greetings and repair requests only expand to ``skip``.
-    Delivery n of the log is one file, so one micro-batch; a delivery named
-    ``"again"`` repeats the first.
+    Each delivery is one micro-batch; the one named ``"again"`` repeats the first.
     """
     root = work_dir(spark, "ingest")
     log = f"{root}/log"
@@ -48,7 +55,7 @@ def run_log(spark: SparkSession, sf_dir: str, deliveries: list[str] | None = Non
         _line(parts[name]).write.mode("append").parquet(log)
         lines = spark.readStream.schema("value string, seq bigint").parquet(log)
         ingest_stream(
-            lines, store, RulePlanner(), hashed_encoder(), f"{root}/checkpoint"
+            lines, store, RulePlanner(), hashed_encoder(), f"{root}/checkpoint", expand=expand
         ).awaitTermination()
     return store
 
