@@ -1,5 +1,6 @@
 """Column functions: everything here maps columns to columns, row by row."""
 
+from memlake.functions.binding import whole
 from memlake.functions.ids import content_id, memory_id
 from memlake.functions.text import (
     context_query_text,
@@ -11,6 +12,7 @@ from memlake.functions.text import (
     trim_space,
     trim_user_key,
 )
+from memlake.functions.vectors import sparse_vector
 
 __all__ = [
     "content_id",
@@ -20,7 +22,9 @@ __all__ = [
     "memory_id",
     "normalise_fact",
     "sentences",
+    "sparse_vector",
     "transcript_text",
     "trim_space",
     "trim_user_key",
+    "whole",
 ]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memlake.functions.binding import let
 from memlake.schema import (
     CONTEXT_BYTES,
     FALLBACK_BYTES,
@@ -16,10 +17,13 @@ from memlake.schema import (
     ROLE_PREFIX,
 )
 
+# Fixed value: the characters with the Unicode property White_Space.
+_WHITE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _WS = r"[\s\x{85}\p{Z}]"
-# The look-behind lets the trailing arm start only where a blank run starts,
-# which keeps the scan linear in the text.
-_OUTER_WS = rf"\A{_WS}++|(?<!{_WS}){_WS}++\z"
 
 # A sentence is text, its terminators, and one blank or the end.  A match can
 # only begin at the text's start, at the end of the previous match or right
@@ -32,14 +36,9 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once, however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def trim_space(text: Column | str) -> Column:
     """Strip Unicode white space (not only blanks) from both ends."""
-    return F.regexp_replace(_col(text), _OUTER_WS, "")
+    return F.btrim(_col(text), F.lit(_WHITE))
 
 
 def trim_user_key(key: Column | str) -> Column:
@@ -51,14 +50,14 @@ def sentences(text: Column | str) -> Column:
     """Trimmed sentences of a trimmed text; the whole text where none ends."""
 
     def split(content: Column) -> Column:
-        return _let(
+        return let(
             F.regexp_extract_all(content, F.lit(_SENTENCE), F.lit(0)),
             lambda found: F.when(content == "", F.array().cast("array<string>"))
             .when(F.size(found) == 0, F.array(content))
             .otherwise(F.transform(found, trim_space)),
         )
 
-    return _let(trim_space(text), split)
+    return let(trim_space(text), split)
 
 
 def context_query_text(messages: Column | str, limit: int = CONTEXT_BYTES) -> Column:
@@ -94,10 +93,10 @@ def context_query_text(messages: Column | str, limit: int = CONTEXT_BYTES) -> Co
         return F.reverse(F.slice(F.reverse(units), F.lit(1), kept))
 
     pieces = F.transform(
-        _let(
+        let(
             F.flatten(
                 F.transform(
-                    _let(
+                    let(
                         F.filter(_col(messages), lambda m: trim_space(m["content"]) != ""),
                         newest,
                     ),
@@ -179,5 +178,5 @@ def last_user_content(messages: Column | str) -> Column:
 
 def normalise_fact(text: Column | str) -> Column:
     """Form under which two facts count as the same: case, blanks, closing marks ignored."""
-    squeezed = F.regexp_replace(trim_space(F.lower(_col(text))), rf"{_WS}++", " ")
-    return F.regexp_replace(squeezed, r"(?<![.!?])[.!?]++\z", "")
+    squeezed = F.regexp_replace(F.lower(_col(text)), rf"{_WS}++", " ")
+    return F.rtrim(F.btrim(squeezed), F.lit(".!?"))

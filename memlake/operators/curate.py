@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions import transcript_text
+from memlake.functions import transcript_text, whole
 from memlake.schema import ACTION, PLAN_CORE, PLAN_GENERAL, PLAN_REASONING
 
 _STRIDE = 1 << 16
@@ -20,7 +20,7 @@ def core_positions(core: DataFrame, stride: int = _STRIDE) -> DataFrame:
     Places are counted in two steps, within stretches of ``stride`` orders and
     then over the stretches, so one long list is ranked by many tasks.
     """
-    keyed = core.withColumn("stretch", F.floor(F.col("ord") / stride))
+    keyed = core.withColumn("stretch", whole("ord", stride))
     within = Window.partitionBy("user_id", "stretch").orderBy("ord", "ord_pos", "memory_id")
     before = (
         Window.partitionBy("user_id")
@@ -83,7 +83,7 @@ def _item(kind: str):
 
 def _list_parts(items: DataFrame, key: str, per_part: int) -> DataFrame:
     """JSON items of a list, joined in parts of ``per_part``; parts put together are the list."""
-    part = F.floor(F.col("n") / per_part).cast("int")
+    part = whole("n", per_part).cast("int")
     joined = items.groupBy(key, part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("n", "item"))).alias("i")
     )
@@ -108,54 +108,53 @@ def build_prompts(
     once per user, so no list is ever gathered whole.  ``hits`` carries
     ``memory_text``.
     """
-    asked = jobs.select("req_id", "user_id")
+    # Fixed frame of the prompt: what stands before, between and after the lists.
+    opening = "<EXISTING_CORE_MEMORIES> \n"
+    middle = "\n </EXISTING_CORE_MEMORIES> \n<EXISTING_OLD_MEMORIES> \n"
+    closing = "\n </EXISTING_OLD_MEMORIES> \n<USER_INPUT> \n"
+    ending = "\n </USER_INPUT>"
+
     core_items = core_positions(core).select(
         "user_id", F.col("place").alias("n"), F.col("place").alias("ordinal"), "memory_text"
     ).withColumn("item", _item("core"))
-    core_parts = asked.join(_list_parts(core_items, "user_id", items_per_part), "user_id")
     gen_items = _general_ordinals(jobs, core, hits).withColumn("item", _item("general")).select(
         "req_id", (F.col("rank") - 1).alias("n"), "item"
     )
-    gen_parts = _list_parts(gen_items, "req_id", items_per_part)
+    # Each list is joined to the jobs once; the row of its first part, or the
+    # row without one, also brings the fixed pieces around the list.
+    first = F.coalesce(F.col("part"), F.lit(0)) == 0
+    end = F.when(F.col("part").isNull(), "null").otherwise("]")
 
-    def framed(parts: DataFrame, section: int) -> DataFrame:
-        return parts.select("req_id", F.lit(section).alias("section"), "part", "text")
+    def piece(section: int, text, part=None):
+        part = F.lit(0) if part is None else part
+        return F.struct(F.lit(section).alias("section"), part.alias("part"), text.alias("text"))
 
-    # Fixed frame of the prompt: what stands before, between and after the lists.
-    opening = "<EXISTING_CORE_MEMORIES> \n"
-    middle = "\n </EXISTING_CORE_MEMORIES> \n<EXISTING_OLD_MEMORIES> \n"
-    closing = "\n </EXISTING_OLD_MEMORIES> \n<USER_INPUT> \n"
-    ending = "\n </USER_INPUT>"
-    with_core = _core_counts(core).select("user_id", F.lit("]").alias("core_end"))
-    with_gen = hits.select("req_id").distinct().withColumn("gen_end", F.lit("]"))
-    fixed = (
-        jobs.select("req_id", "user_id", "messages")
-        .join(with_core, "user_id", "left")
-        .join(with_gen, "req_id", "left")
+    core_pieces = (
+        jobs.select("req_id", "user_id")
+        .join(_list_parts(core_items, "user_id", items_per_part), "user_id", "left")
         .select(
             "req_id",
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("section"), F.lit(opening).alias("text")),
-                    F.struct(
-                        F.lit(2).alias("section"),
-                        F.concat(F.coalesce("core_end", F.lit("null")), F.lit(middle)).alias("text"),
-                    ),
-                    F.struct(
-                        F.lit(4).alias("section"),
-                        F.concat(
-                            F.coalesce("gen_end", F.lit("null")),
-                            F.lit(closing),
-                            transcript_text("messages"),
-                            F.lit(ending),
-                        ).alias("text"),
-                    ),
-                )
-            ).alias("s"),
+            F.when(first, piece(0, F.lit(opening))).alias("a"),
+            F.when(F.col("part").isNotNull(), piece(1, F.col("text"), F.col("part"))).alias("b"),
+            F.when(first, piece(2, F.concat(end, F.lit(middle)))).alias("c"),
         )
-        .select("req_id", "s.section", F.lit(0).alias("part"), "s.text")
     )
-    return fixed.unionByName(framed(core_parts, 1)).unionByName(framed(gen_parts, 3))
+    tail = F.concat(end, F.lit(closing), transcript_text("messages"), F.lit(ending))
+    general_pieces = (
+        jobs.select("req_id", "messages")
+        .join(_list_parts(gen_items, "req_id", items_per_part), "req_id", "left")
+        .select(
+            "req_id",
+            F.when(F.col("part").isNotNull(), piece(3, F.col("text"), F.col("part"))).alias("a"),
+            F.when(first, piece(4, tail)).alias("b"),
+        )
+    )
+
+    def rows(pieces: DataFrame) -> DataFrame:
+        listed = F.array_compact(F.array(*pieces.columns[1:]))
+        return pieces.select("req_id", F.explode(listed).alias("p")).select("req_id", "p.*")
+
+    return rows(core_pieces).unionByName(rows(general_pieces))
 
 
 def _plan_schema(keys: list[str]) -> str:

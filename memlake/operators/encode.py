@@ -8,43 +8,33 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.functions.binding import let
+from memlake.functions.vectors import TERM_BREAK, sparse_vector
 from memlake.schema import QUERY_MARKER, SPARSE
 
 #: A plug-in maps a batch of texts to one dense vector and one (indices,
 #: values) pair per text, in the same order.
 Encoder = Callable[[list[str]], tuple[np.ndarray, list[tuple[list[int], list[float]]]]]
 
-# Letters and digits of any script make a term.
-_TERM_BREAK = r"[^\p{L}\p{N}]+"
 
-
-def mark_query(text):
+def mark_query(text: Column) -> Column:
     """Texts to search for carry a marker; stored texts do not."""
     return F.concat(F.lit(QUERY_MARKER), text)
 
 
-def sparse_postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Sparse encoding as rows ``(id, idx, w)`` with ``w = 1 + ln(tf)``.
+def sparse_encode(texts: DataFrame, text_col: str) -> DataFrame:
+    """Built-in sparse encoder: adds ``sparse``.  Row-local, so nothing is shuffled."""
+    return texts.withColumn("sparse", sparse_vector(text_col))
 
-    A term's index is the first 32 bits of its md5.  The rows are hashed by
-    text id once; counting terms, merging indices and gathering vectors all
-    reuse that one shuffle.  A query marker at the start is not a term.
-    """
-    body = F.regexp_replace(F.col(text_col), rf"\A{QUERY_MARKER}", "")
-    terms = F.filter(F.split(F.lower(body), _TERM_BREAK), lambda t: t != "")
-    counted = (
-        texts.select(F.col(id_col).alias("id"), F.col(text_col))
-        .repartition("id")
-        .select("id", F.explode(terms).alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    index = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint")
-    return counted.groupBy("id", index.alias("idx")).agg(
-        F.sum(1 + F.log("tf")).cast("float").alias("w")
+
+def sparse_postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The sparse encoding as rows ``(id, idx, w)``, one per distinct term of a text."""
+    terms = let(sparse_vector(text_col), lambda v: F.arrays_zip(v["indices"], v["values"]))
+    return texts.select(F.col(id_col).alias("id"), F.explode(terms).alias("p")).select(
+        "id", F.col("p.indices").alias("idx"), F.col("p.values").alias("w")
     )
 
 
@@ -85,11 +75,6 @@ def gather_vectors(
     )
 
 
-def sparse_encode(texts: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """Built-in sparse encoder: ``(id, sparse)`` for every text that has a term."""
-    return gather_vectors(sparse_postings(texts, id_col, text_col), **options)
-
-
 def encode(
     texts: DataFrame, text_col: str, encoder: Encoder, sparse: bool = True, batch: int = 1024
 ) -> DataFrame:
@@ -127,16 +112,16 @@ def hashed_encoder(dim: int = 64) -> Encoder:
     def run(texts: list[str]):
         import regex
 
-        split = regex.compile(_TERM_BREAK).split
+        split = regex.compile(TERM_BREAK).split
         dense = np.zeros((len(texts), dim))
         pairs = []
         for row, text in enumerate(texts):
-            tf = Counter(t for t in split(text.removeprefix(QUERY_MARKER).lower()) if t)
-            weights: Counter = Counter()
-            for term, n in tf.items():
-                weights[int(hashlib.md5(term.encode()).hexdigest()[:8], 16)] += 1 + np.log(n)
-            indices = sorted(weights)
-            values = [float(np.float32(weights[i])) for i in indices]
+            terms = split(text.removeprefix(QUERY_MARKER).lower())
+            tf = Counter(
+                int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in terms if t
+            )
+            indices = sorted(tf)
+            values = [float(np.float32(1 + np.log(tf[i]))) for i in indices]
             for i, v in zip(indices, values):
                 dense[row, i % dim] += v
             pairs.append((indices, values))

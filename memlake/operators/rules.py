@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import normalise_fact, sentences
+from memlake.operators.state import newest_rows
 
 
 class Gate(NamedTuple):
@@ -127,8 +128,7 @@ def resolve_conflicts(facts: DataFrame, existing: DataFrame) -> DataFrame:
     another value is deleted, the new fact is inserted unless an equal one is
     stored.  Actions belong to the job of the winning fact.
     """
-    newest = Window.partitionBy("user_id", "slot").orderBy(F.desc("seq"), F.desc("pos"))
-    winners = facts.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n")
+    winners = newest_rows(facts, ["user_id", "slot"], F.desc("seq"), F.desc("pos"))
     head = ["req_id", "user_id", "seq", "pos", "slot"]
     # Stored rows are the large and possibly skewed side: they stream past the
     # one winner of their slot.
@@ -159,14 +159,23 @@ def suppress_duplicates(
     """New facts whose normalised text the user does not have yet, the first of equals.
 
     Rows are compared by a 256-bit digest of the normalised text, so whole
-    texts never travel; copies collapse before the shuffle.
+    texts never travel; old and new rows meet in one grouping, which collapses
+    copies before its shuffle.
     """
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_d", F.sha2(normalise_fact(text), 256))
+    def keyed(rows: DataFrame, order) -> DataFrame:
+        return rows.select(
+            "user_id", F.sha2(normalise_fact(text), 256).alias("digest"), order.alias(order_col)
+        )
 
-    firsts = keyed(facts).groupBy("user_id", "_d").agg(F.min(order_col).alias(order_col))
-    known = keyed(existing).select("user_id", "_d").distinct()
-    fresh = firsts.join(known, ["user_id", "_d"], "left_anti").select("user_id", order_col)
+    kind = facts.schema[order_col].dataType
+    fresh = (
+        keyed(facts, F.col(order_col))
+        .unionByName(keyed(existing, F.lit(None).cast(kind)))
+        .groupBy("user_id", "digest")
+        .agg(F.min(order_col).alias(order_col), F.bool_or(F.col(order_col).isNull()).alias("old"))
+        .where(~F.col("old"))
+        .select("user_id", order_col)
+    )
     return facts.join(fresh, ["user_id", order_col], "left_semi")
 
 

@@ -42,7 +42,7 @@ def cell_plan(
 
 
 def _rows_by_cell(
-    queries: DataFrame, memories: DataFrame, plan: DataFrame
+    queries: DataFrame, memories: DataFrame, plan: DataFrame, branches: tuple[str, ...]
 ) -> DataFrame:
     """Both sides as rows of one shape, copied to every cell they take part in.
 
@@ -56,7 +56,9 @@ def _rows_by_cell(
     def every(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    shape = ["cell", "side", "row_id", "user_id", "threshold", "dense", "indices", "values"]
+    vectors = {"dense": ["dense"], "sparse": ["indices", "values"]}
+    shape = ["cell", "side", "row_id", "user_id", "threshold"]
+    shape += [c for b in branches for c in vectors[b]]
     stored = (
         memories.join(plan, "user_id")
         .withColumn("mb", block("memory_id", "m_blocks"))
@@ -74,12 +76,10 @@ def _rows_by_cell(
     )
 
     def shaped(rows: DataFrame) -> DataFrame:
-        return (
-            rows.withColumn("cell", F.concat_ws(":", "user_id", "mb", "qb"))
-            .withColumn("indices", F.col("sparse.indices"))
-            .withColumn("values", F.col("sparse.values"))
-            .select(shape)
-        )
+        rows = rows.withColumn("cell", F.concat_ws(":", "user_id", "mb", "qb"))
+        if "sparse" in branches:
+            rows = rows.select("*", "sparse.indices", "sparse.values")
+        return rows.select(shape)
 
     return shaped(stored).unionByName(shaped(asked))
 
@@ -207,7 +207,7 @@ def score_cells(
         memory_block,
         query_block,
     )
-    rows = _rows_by_cell(queries, memories, plan)
+    rows = _rows_by_cell(queries, memories, plan, branches)
     rows = rows.repartition("cell").sortWithinPartitions("cell", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

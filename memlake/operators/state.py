@@ -8,7 +8,7 @@ is neither sorted nor regrouped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.ids import content_id, memory_id
@@ -38,15 +38,19 @@ def _key(scope_to_user: bool) -> list[str]:
     return ["user_id", "memory_id"] if scope_to_user else ["memory_id"]
 
 
+def newest_rows(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
+    """The first row of each key by ``order``; copies go before they are shuffled."""
+    first = Window.partitionBy(*key).orderBy(*order)
+    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+
+
 def last_ops(ops: DataFrame, scope_to_user: bool = True) -> DataFrame:
     """The operation that decides each memory's fate.
 
     A key that is both deleted and inserted in one job survives.
     """
-    last = Window.partitionBy(*_key(scope_to_user)).orderBy(
-        F.desc("seq"), F.desc("is_insert"), F.desc("pos")
-    )
-    return ops.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+    order = F.desc("seq"), F.desc("is_insert"), F.desc("pos")
+    return newest_rows(ops, _key(scope_to_user), *order)
 
 
 def apply_general(
@@ -74,8 +78,7 @@ def upsert_memories(
     if order_col is None:
         batch = incoming.dropDuplicates(key)
     else:
-        last = Window.partitionBy(*key).orderBy(F.desc(order_col))
-        batch = incoming.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+        batch = newest_rows(incoming, key, F.desc(order_col))
     kept = memories.join(batch.select(key), key, "left_anti")
     return kept.unionByName(batch.select(memories.columns))
 

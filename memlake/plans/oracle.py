@@ -67,11 +67,10 @@ ctx AS (
 
 def _postings(src: str, id_col: str, text_col: str) -> str:
     return f"""(
-  SELECT id, idx, sum(1 + ln(tf))::FLOAT AS w FROM (
-    SELECT id, ('0x' || substr(md5(t), 1, 8))::UBIGINT::BIGINT AS idx, tf FROM (
-      SELECT id, t, count(*) AS tf FROM (
-        SELECT {id_col} AS id, unnest(string_split_regex(lower({text_col}), '[^\\p{{L}}\\p{{N}}]+')) AS t
-        FROM {src}) WHERE t <> '' GROUP BY id, t))
+  SELECT id, idx, (1 + ln(count(*)))::FLOAT AS w FROM (
+    SELECT id, ('0x' || substr(md5(t), 1, 8))::UBIGINT::BIGINT AS idx FROM (
+      SELECT {id_col} AS id, unnest(string_split_regex(lower({text_col}), '[^\\p{{L}}\\p{{N}}]+')) AS t
+      FROM {src}) WHERE t <> '')
   GROUP BY id, idx)"""
 
 

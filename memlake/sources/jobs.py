@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.functions.binding import whole
 from memlake.functions.ids import content_id
 from memlake.schema import INSERT_THRESHOLD, JOB_JSON, MESSAGES, TURNS_PER_JOB
 
@@ -16,7 +17,7 @@ def assemble_jobs(turns: DataFrame, turns_per_job: int = TURNS_PER_JOB) -> DataF
     jobs, as a client sending it in instalments would make them, so the
     gathered array is bounded whatever the conversation's length.
     """
-    part = F.floor(F.col("turn") / turns_per_job).cast("bigint")
+    part = whole("turn", turns_per_job)
     message = F.struct(F.col("turn"), F.col("role"), F.col("content"))
     gathered = turns.groupBy("user_id", "conv_id", part.alias("part")).agg(
         F.array_sort(F.collect_list(message)).alias("m")
@@ -99,7 +100,7 @@ def decode_jobs(lines: DataFrame) -> DataFrame:
     ).withColumn(
         "reason",
         F.when(
-            boxed.isNull() | (F.coalesce(_kind(boxed, "$[1]"), F.lit("")) != ""), "not JSON"
+            boxed.isNull() | doc.isNull() | _kind(boxed, "$[1]").isNotNull(), "not JSON"
         )
         .when(F.schema_of_variant(doc) == "VOID", F.lit(None))
         .when(~F.schema_of_variant(doc).startswith("OBJECT"), "not an object")

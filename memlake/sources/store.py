@@ -11,11 +11,11 @@ again overwrites its own folders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from memlake.operators.state import apply_core, last_ops
+from memlake.operators.state import apply_core, last_ops, newest_rows
 from memlake.schema import MESSAGES, SPARSE
 
 SCHEMAS = {
@@ -44,6 +44,7 @@ SCHEMAS = {
         "inserted bigint, deleted bigint, not_found bigint, ignored bigint, invalid bigint"
     ),
 }
+SCHEMAS["decoded"] = SCHEMAS["jobs"]
 _KEY = ["user_id", "memory_id"]
 
 
@@ -53,6 +54,13 @@ class MemoryStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._versions: list[tuple[int, str]] | None = None
+
+    def pinned(self) -> MemoryStore:
+        """The same store, but reading the versions there are now and no later ones."""
+        pin = MemoryStore(self.spark, self.root)
+        pin._versions = self.versions()
+        return pin
 
     @classmethod
     def create(
@@ -79,6 +87,8 @@ class MemoryStore:
 
     def versions(self) -> list[tuple[int, str]]:
         """Committed versions in order, as (number, "delta" or "base"); one small row each."""
+        if self._versions is not None:
+            return self._versions
         rows = self.spark.read.schema("kind string, v bigint").parquet(f"{self.root}/commits")
         return sorted((r.v, r.kind) for r in rows.collect())
 
@@ -92,8 +102,8 @@ class MemoryStore:
 
     def commit(self, version: int, kind: str = "delta") -> None:
         """Make a version count.  One row in one file, so it is there or it is not."""
-        row = self.spark.range(1).select(F.lit(kind).alias("kind")).coalesce(1)
-        row.write.mode("overwrite").parquet(f"{self.root}/commits/v={version}/{kind}")
+        row = self.spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1)
+        row.write.mode("overwrite").parquet(f"{self.root}/commits/kind={kind}/v={version}")
 
     def stage(self, rows: DataFrame, name: str, version: int) -> DataFrame:
         """Write rows as a table of a version and read them back, which ends their lineage."""
@@ -129,12 +139,7 @@ class MemoryStore:
         base = self._base("general", base_version)
         if not deltas:
             return base
-        latest = Window.partitionBy(*_KEY).orderBy(F.desc("v"))
-        last = (
-            self._read("general", deltas)
-            .withColumn("n", F.row_number().over(latest))
-            .where("n = 1")
-        )
+        last = newest_rows(self._read("general", deltas), _KEY, F.desc("v"))
         kept = base.join(last.select(_KEY), _KEY, "left_anti").select(base.columns)
         return kept.unionByName(last.where("is_insert").select(base.columns))
 

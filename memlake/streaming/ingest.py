@@ -109,38 +109,44 @@ def _with_seq(lines: DataFrame, version: int) -> DataFrame:
     return lines.withColumn("seq", F.lit(version) * F.lit(1 << 41) + within)
 
 
-def judge_jobs(
-    lines: DataFrame, seen: DataFrame, version: int, expand: Callable[[Column], Column]
+def open_lines(
+    lines: DataFrame, version: int, expand: Callable[[Column], Column]
 ) -> DataFrame:
-    """Decoded jobs with their ``status``: dead, replayed, skipped or accepted.
-
-    A job is replayed if its id is among ``seen`` (req_id) or comes earlier in
-    the same batch; jobs without an id are never taken for replays.
-    """
+    """Decoded lines with their search text and a first ``status``: dead, skipped or accepted."""
     decoded = decode_jobs(_with_seq(lines, version))
     gated = skip_gate(decoded.withColumn("expanded_query", expand(F.col("messages"))))
-    batch_ids = gated.where("reason is null and req_id != ''").select("req_id").distinct()
+    return gated.withColumn(
+        "status",
+        F.when(F.col("reason").isNotNull(), "dead")
+        .when(~F.col("required"), "skipped")
+        .otherwise("accepted"),
+    ).withColumn("raw", F.when(F.col("status") == "dead", F.col("raw")))
+
+
+def mark_replays(jobs: DataFrame, seen: DataFrame) -> DataFrame:
+    """Status becomes ``replayed`` for jobs among ``seen`` (req_id) or earlier in the batch.
+
+    Jobs without an id are never taken for replays.
+    """
+    named = (F.col("status") != "dead") & (F.col("req_id") != "")
+    firsts = jobs.where(named).groupBy("req_id").agg(F.min("seq").alias("first_seq"))
     # The log is the long side: it streams past the ids of this batch.
     before = (
-        seen.join(batch_ids, "req_id", "left_semi").distinct().withColumn("old", F.lit(True))
-    )
-    firsts = (
-        gated.where("reason is null and req_id != ''")
-        .groupBy("req_id")
-        .agg(F.min("seq").alias("first_seq"))
+        seen.join(firsts.select("req_id"), "req_id", "left_semi")
+        .distinct()
+        .withColumn("old", F.lit(True))
     )
     again = F.col("old").isNotNull() | (F.col("seq") > F.col("first_seq"))
     return (
-        gated.join(before, "req_id", "left")
-        .join(firsts, "req_id", "left")
+        jobs.join(firsts, "req_id", "left")
+        .join(before, "req_id", "left")
         .withColumn(
             "status",
-            F.when(F.col("reason").isNotNull(), "dead")
-            .when(F.coalesce(again, F.lit(False)), "replayed")
-            .when(~F.col("required"), "skipped")
-            .otherwise("accepted"),
+            F.when(named & F.coalesce(again, F.lit(False)), "replayed").otherwise(
+                F.col("status")
+            ),
         )
-        .withColumn("raw", F.when(F.col("status") == "dead", F.col("raw")))
+        .select(jobs.columns)
     )
 
 
@@ -179,10 +185,12 @@ def ingest_batch(
     ``expand`` turns messages into the text to search with; a model's output
     can be joined in before by giving a line source of its own.
     """
+    store = store.pinned()
     if store.is_committed(version):
         return
     seen = store.log("jobs", before=version).where("status != 'dead'").select("req_id")
-    jobs = store.stage(judge_jobs(lines, seen, version, expand), "jobs", version)
+    decoded = store.stage(open_lines(lines, version, expand), "decoded", version)
+    jobs = store.stage(mark_replays(decoded, seen), "jobs", version)
     accepted = jobs.where("status = 'accepted'")
     actions = store.stage(planner(accepted, store, version, encoder), "actions", version)
     # Encoding comes before anything is applied, and applying is one commit.

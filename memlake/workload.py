@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.functions import content_id, context_query_text, memory_id
+from memlake.functions import content_id, context_query_text, memory_id, whole
 from memlake.operators.encode import mark_query, sparse_encode
+from memlake.operators.state import newest_rows
 from memlake.schema import (
     INSERT_THRESHOLD,
     PLAN_CORE,
@@ -23,6 +24,13 @@ from memlake.sources.jobs import assemble_jobs
 CONVERSATIONS_PER_USER = 5
 ACTIONS_PER_JOB = 10
 
+_KEYS = {
+    "conversations": "conv_id",
+    "documents": "doc_id",
+    "embeddings": "vec_id",
+    "events": "event_id",
+}
+
 
 class Workload:
     """Frames over one folder of test tables."""
@@ -32,12 +40,21 @@ class Workload:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table, in at least as many partitions as there are cores.
+
+        A table of many files is read as it is.  One small file would keep all
+        row-local work in one task; its rows are dealt out first.
+        """
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < cores:
+            return rows.repartition(cores, _KEYS[name])
+        return rows
 
     # -- conversations ------------------------------------------------------
 
     def turns(self) -> DataFrame:
-        group = F.floor(F.col("conv_id") / CONVERSATIONS_PER_USER).cast("string")
+        group = whole("conv_id", CONVERSATIONS_PER_USER).cast("string")
         return self.table("conversations").select(
             F.concat(F.lit("u"), group).alias("user_id"),
             "conv_id",
@@ -57,28 +74,20 @@ class Workload:
 
     def queries(self, threshold: float = 0.65) -> DataFrame:
         """One search per job: its context query, and the dense vector of its number."""
-        asked = (
-            self.jobs()
-            .withColumn("text", mark_query(context_query_text("messages")))
-            .select(
-                F.col("req_id").alias("query_id"),
-                "user_id",
-                F.shiftright("seq", 20).alias("vec_id"),
-                "text",
-            )
+        asked = self.jobs().select(
+            F.col("req_id").alias("query_id"),
+            "user_id",
+            F.shiftright("seq", 20).alias("vec_id"),
+            F.lit(threshold).alias("threshold"),
+            mark_query(context_query_text("messages")).alias("text"),
         )
-        sparse = sparse_encode(asked, "query_id", "text").withColumnRenamed("id", "query_id")
-        return (
-            asked.drop("text")
-            .join(self.vectors(), "vec_id", "left")
-            .join(sparse, "query_id", "left")
-            .withColumn("threshold", F.lit(threshold))
-            .drop("vec_id")
+        return sparse_encode(asked, "text").join(self.vectors(), "vec_id", "left").drop(
+            "vec_id", "text"
         )
 
     def query_sizes(self) -> DataFrame:
         """Jobs per user, counted on turns without reading texts."""
-        part = F.floor(F.col("turn") / TURNS_PER_JOB)
+        part = whole("turn", TURNS_PER_JOB)
         return (
             self.turns()
             .groupBy("user_id")
@@ -103,16 +112,13 @@ class Workload:
 
     def memory_texts(self) -> DataFrame:
         """The general table without vectors: the last document of each id."""
-        docs = self.documents()
-        last = docs.groupBy("user_id", "memory_id").agg(F.max("doc_id").alias("doc_id"))
-        return docs.join(last.select("doc_id"), "doc_id", "left_semi")
+        return newest_rows(self.documents(), ["user_id", "memory_id"], F.desc("doc_id"))
 
     def memories(self) -> DataFrame:
         """The general table with both vectors."""
-        texts = self.memory_texts()
-        sparse = sparse_encode(texts, "doc_id", "memory_text").withColumnRenamed("id", "doc_id")
         dense = self.vectors().withColumnRenamed("vec_id", "doc_id")
-        return texts.join(dense, "doc_id", "left").join(sparse, "doc_id", "left")
+        texts = sparse_encode(self.memory_texts(), "memory_text")
+        return texts.join(dense, "doc_id", "left")
 
     def memory_sizes(self) -> DataFrame:
         """Documents per user: an upper bound of memories that reads no text."""
@@ -160,7 +166,7 @@ class Workload:
         return self.events().where("event_type != 'signup'").select(
             self._req_id().alias("req_id"),
             "user_id",
-            F.floor(F.col("event_id") / ACTIONS_PER_JOB).alias("seq"),
+            whole("event_id", ACTIONS_PER_JOB).alias("seq"),
             F.lit(tier).alias("tier"),
             (F.col("event_id") % ACTIONS_PER_JOB).alias("pos"),
             F.when(delete, "DELETE").otherwise("INSERT").alias("action_type"),
@@ -198,7 +204,7 @@ class Workload:
         return self._actions("core", text, delete)
 
     def _req_id(self) -> Column:
-        job = F.floor(F.col("event_id") / ACTIONS_PER_JOB).cast("string")
+        job = whole("event_id", ACTIONS_PER_JOB).cast("string")
         return F.concat_ws("-", F.concat(F.lit("r"), F.col("user_id")), job)
 
     def raw_actions(self) -> DataFrame:
@@ -210,7 +216,7 @@ class Workload:
         return self.events().select(
             self._req_id().alias("req_id"),
             "user_id",
-            F.floor(F.col("event_id") / ACTIONS_PER_JOB).alias("seq"),
+            whole("event_id", ACTIONS_PER_JOB).alias("seq"),
             F.when(e.isin("signup", "error"), "core").otherwise("general").alias("tier"),
             F.col("event_id"),
             kind.alias("action_type"),
@@ -272,7 +278,7 @@ class Workload:
             F.col("event_type").alias("slot"),
             F.col("k").cast("string").alias("value"),
             F.concat_ws(": ", "event_type", F.col("k").cast("string")).alias("memory_text"),
-            F.floor(F.col("event_id") / ACTIONS_PER_JOB).alias("seq"),
+            whole("event_id", ACTIONS_PER_JOB).alias("seq"),
             (F.col("event_id") % ACTIONS_PER_JOB).alias("pos"),
             "event_id",
         )
@@ -307,7 +313,7 @@ class Workload:
             .groupBy(
                 self._req_id().alias("req_id"),
                 "user_id",
-                F.floor(F.col("event_id") / ACTIONS_PER_JOB).alias("seq"),
+                whole("event_id", ACTIONS_PER_JOB).alias("seq"),
             )
             .agg(F.array_sort(F.collect_list(said)).alias("m"))
             .select(
