@@ -103,8 +103,8 @@ def apply_core(base: DataFrame, ops: DataFrame) -> DataFrame:
 
     Kept entries keep their place, new ones follow in (job, action) order:
     the list order *is* the pair (ord, ord_pos), so nothing is renumbered and
-    a long profile needs no sort.  A DELETE strikes only entries that were
-    there before its job.
+    a long profile needs no sort; ``seq`` must go on where the stored ``ord``
+    ends.  A DELETE strikes only entries that were there before its job.
     """
     added = ops.where("is_insert").select(
         "user_id",
@@ -118,12 +118,13 @@ def apply_core(base: DataFrame, ops: DataFrame) -> DataFrame:
         .groupBy("user_id", "memory_id")
         .agg(F.max("seq").alias("struck"))
     )
-    rows = base.select(added.columns).unionByName(added)
-    return (
-        rows.join(strikes, ["user_id", "memory_id"], "left")
+    stored = base.select(added.columns).join(strikes, ["user_id", "memory_id"], "left_anti")
+    outlived = (
+        added.join(strikes, ["user_id", "memory_id"], "left")
         .where(F.col("struck").isNull() | (F.col("struck") <= F.col("ord")))
         .drop("struck")
     )
+    return stored.unionByName(outlived)
 
 
 def _asked_ids(requests: DataFrame) -> DataFrame:
