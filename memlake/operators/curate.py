@@ -249,7 +249,10 @@ def resolve_targets(actions: DataFrame, core: DataFrame, hits: DataFrame) -> Dat
         valid_delete & F.col("target_memory_id").rlike(r"\A(0|[1-9][0-9]{0,17})\z"),
         F.col("target_memory_id").cast("bigint"),
     )
-    numbered = actions.withColumn("ordinal", number)
+    # Rows that look nothing up get a negative number, which no place has, and
+    # so spread over many join keys instead of meeting under one.
+    nothing = -1 - F.pmod(F.xxhash64("req_id"), F.lit(1 << 20))
+    numbered = actions.withColumn("ordinal", F.coalesce(number, nothing))
     places = core_positions(core).select(
         "user_id", F.col("place").alias("ordinal"), F.col("memory_id").alias("core_id")
     )

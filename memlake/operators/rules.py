@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import normalise_fact, sentences
+from memlake.operators.retrieve import dense_topk
 from memlake.operators.state import newest_rows
 
 
@@ -179,6 +180,26 @@ def suppress_duplicates(
     return facts.join(fresh, ["user_id", order_col], "left_semi")
 
 
+def suppress_near_duplicates(
+    facts: DataFrame, existing: DataFrame, min_cosine: float, **cells
+) -> DataFrame:
+    """New facts (fact_id, user_id, dense, ...) that no stored memory comes close to.
+
+    A fact goes if the most similar memory of its user reaches ``min_cosine``.
+    That is a top-1 search, exact and without writing out pairs.
+    """
+    asked = facts.select(
+        F.col("fact_id").alias("query_id"),
+        "user_id",
+        F.lit(min_cosine).alias("threshold"),
+        "dense",
+    )
+    close = dense_topk(asked, existing, 1, **cells).where(F.col("score") >= F.col("threshold"))
+    return facts.join(
+        close.select(F.col("query_id").alias("fact_id")), "fact_id", "left_anti"
+    )
+
+
 def extract_facts(jobs: DataFrame) -> DataFrame:
     """Facts worth keeping in the user's messages, with tier, slot and value."""
     return (

@@ -410,6 +410,9 @@ ORACLE["suppress_duplicates"] = f"""WITH {_DOCS}, n AS (
          doc_id IN (SELECT vec_id FROM embeddings) AS known FROM docs)
 SELECT min(doc_id) AS doc_id, user_id, arg_min(memory_id, doc_id) AS memory_id FROM n
 GROUP BY user_id, norm HAVING NOT bool_or(known)"""
+ORACLE["suppress_near_duplicates"] = f"""{_SEARCH}
+SELECT req_id AS fact_id, user_id FROM jobs WHERE NOT EXISTS (
+  SELECT 1 FROM lists l WHERE l.query_id = jobs.req_id AND l.branch = 'dense' AND l.score >= 0.25)"""
 ORACLE["plan_provider"] = f"""WITH {_STATEMENTS}, spoken AS (
   SELECT *, lower(content) AS low FROM statements WHERE event_type IN ('signup', 'purchase', 'click')),
 s AS (

@@ -363,6 +363,14 @@ def suppress_duplicates(w: Workload) -> DataFrame:
     return fresh.select("doc_id", "user_id", "memory_id")
 
 
+@query
+def suppress_near_duplicates(w: Workload) -> DataFrame:
+    facts = w.queries().withColumnRenamed("query_id", "fact_id")
+    return rules.suppress_near_duplicates(facts, w.memories(), 0.25, **_search_sizes(w)).select(
+        "fact_id", "user_id"
+    )
+
+
 @query
 def plan_provider(w: Workload) -> DataFrame:
     facts = rules.extract_facts(w.statement_jobs())

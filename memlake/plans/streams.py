@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import fallback_query_text
 from memlake.operators.encode import hashed_encoder
+from memlake.sources.jobs import job_stream
 from memlake.sources.store import MemoryStore
 from memlake.sources.workdir import work_dir
 from memlake.streaming.ingest import RulePlanner, ingest_stream
@@ -53,7 +54,7 @@ def run_log(spark: SparkSession, sf_dir: str, deliveries: list[str] | None = Non
     store = MemoryStore.create(spark, f"{root}/store")
     for name in deliveries or ["early", "late"]:
         _line(parts[name]).write.mode("append").parquet(log)
-        lines = spark.readStream.schema("value string, seq bigint").parquet(log)
+        lines = job_stream(spark, log, "parquet", "value string, seq bigint")
         ingest_stream(
             lines, store, RulePlanner(), hashed_encoder(), f"{root}/checkpoint", expand=expand
         ).awaitTermination()

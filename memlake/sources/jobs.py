@@ -59,16 +59,24 @@ def emit_jobs(
     return stamped.select("req_id", "user_id", wire.alias("value"))
 
 
-def job_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Stream of raw job lines from text files; column ``value``.
+def job_stream(
+    spark: SparkSession,
+    path: str | None = None,
+    source: str = "text",
+    schema: str | None = None,
+    **options,
+) -> DataFrame:
+    """Stream of raw job lines: column ``value``, and ``seq`` where the source has one.
 
-    Any source with a string ``value`` column (a Kafka topic cast to string,
-    say) can stand in for it.
+    Text files by default; any source with a ``value`` column will do, such as
+    ``source="kafka"`` with that connector's options.  Tasks share the work.
     """
-    reader = spark.readStream.format("text")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path)
+    reader = spark.readStream.format(source).options(**options)
+    if schema:
+        reader = reader.schema(schema)
+    rows = reader.load(path) if path else reader.load()
+    order = [c for c in ("seq",) if c in rows.columns]
+    return rows.select(F.col("value").cast("string").alias("value"), *order)
 
 
 def _kind(doc: Column, path: str) -> Column:

@@ -129,17 +129,23 @@ def mark_replays(jobs: DataFrame, seen: DataFrame) -> DataFrame:
     Jobs without an id are never taken for replays.
     """
     named = (F.col("status") != "dead") & (F.col("req_id") != "")
-    firsts = jobs.where(named).groupBy("req_id").agg(F.min("seq").alias("first_seq"))
+    # Rows without a name to look up get one of their own, not all the same.
+    lookup = F.when(named, F.concat(F.lit("r"), F.col("req_id"))).otherwise(
+        F.concat(F.lit("-"), F.col("seq").cast("string"))
+    )
+    keyed = jobs.withColumn("name", lookup)
+    firsts = keyed.where(named).groupBy("name").agg(F.min("seq").alias("first_seq"))
     # The log is the long side: it streams past the ids of this batch.
     before = (
-        seen.join(firsts.select("req_id"), "req_id", "left_semi")
+        seen.select(F.concat(F.lit("r"), F.col("req_id")).alias("name"))
+        .join(firsts.select("name"), "name", "left_semi")
         .distinct()
         .withColumn("old", F.lit(True))
     )
     again = F.col("old").isNotNull() | (F.col("seq") > F.col("first_seq"))
     return (
-        jobs.join(firsts, "req_id", "left")
-        .join(before, "req_id", "left")
+        keyed.join(firsts, "name", "left")
+        .join(before, "name", "left")
         .withColumn(
             "status",
             F.when(named & F.coalesce(again, F.lit(False)), "replayed").otherwise(

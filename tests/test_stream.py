@@ -52,7 +52,7 @@ def stream(spark, tmp_path, name, files, max_files):
         os.utime(f"{log}/part-{i}.txt", (1_700_000_000 + i, 1_700_000_000 + i))
     store = MemoryStore.create(spark, f"{tmp_path}/{name}/store")
     ingest_stream(
-        job_stream(spark, log, max_files), store, RulePlanner(), ENCODER,
+        job_stream(spark, log, maxFilesPerTrigger=max_files), store, RulePlanner(), ENCODER,
         f"{tmp_path}/{name}/checkpoint", compact_every=2,
     ).awaitTermination()
     return store
