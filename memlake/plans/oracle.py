@@ -500,3 +500,28 @@ UNION ALL
 {_AUDIT.format(replayed=0, live=1, side='', homes='moved', old='replaces', v=1)}
 UNION ALL
 {_AUDIT.format(replayed='count(DISTINCT req_id)', live=0, side='NOT', homes='early', old='false', v=2)}"""
+
+# Integer widths as Spark has them.
+_INT = {
+    "attach_dense": ["dim"],
+    "build_prompts": ["part"],
+    "decode_jobs": ["n_messages"],
+    "encode_plugin": ["n_terms"],
+    "explode_turns": ["turn"],
+    "gatekeeper": ["turn", "pos"],
+    "assign_slots": ["turn", "pos"],
+    "parse_plans": ["pos"],
+    "sparse_encode_idf": ["n_terms"],
+    "upsert_memories": ["n_bytes"],
+    **{n: ["rank"] for n in "dense_topk sparse_topk rrf_fuse score_cut hybrid_retrieve".split()},
+}
+_BIGINT = {
+    "get_core": ["ord_pos"],
+    "retrieve_with_core": ["ord_pos"],
+    "dedup_replay": ["applied", "replayed"],
+    "ingest_audit": ["dead", "not_found", "ignored", "invalid", "v"],
+}
+for _widths, _type in ((_INT, "INTEGER"), (_BIGINT, "BIGINT")):
+    for _name, _columns in _widths.items():
+        _casts = ", ".join(f"{c}::{_type} AS {c}" for c in _columns)
+        ORACLE[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE[_name]})"

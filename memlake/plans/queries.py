@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.operators import curate, encode, requests, retrieve, rules, state
 from memlake.plans.streams import STREAM_QUERIES
-from memlake.sources.jobs import decode_jobs, emit_jobs
+from memlake.sources import jobs as job_log
 from memlake.workload import Workload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,8 +63,8 @@ def _lines(w: Workload) -> DataFrame:
 
 
 @query
-def decode_jobs_(w: Workload) -> DataFrame:
-    decoded = decode_jobs(_lines(w))
+def decode_jobs(w: Workload) -> DataFrame:
+    decoded = job_log.decode_jobs(_lines(w))
     return decoded.select(
         F.when(F.col("reason").isNull(), F.col("req_id")).alias("req_id"),
         F.when(F.col("reason").isNull(), F.col("user_id")).alias("user_id"),
@@ -76,9 +76,9 @@ def decode_jobs_(w: Workload) -> DataFrame:
 
 
 @query
-def emit_jobs_(w: Workload) -> DataFrame:
+def emit_jobs(w: Workload) -> DataFrame:
     jobs = w.jobs().select("user_id", "messages", "req_id")
-    return emit_jobs(jobs, replayable=F.col("req_id"))
+    return job_log.emit_jobs(jobs, replayable=F.col("req_id"))
 
 
 @query
@@ -183,16 +183,15 @@ def skip_gate(w: Workload) -> DataFrame:
 
 @query
 def sparse_encode(w: Workload) -> DataFrame:
-    return encode.sparse_postings(w.table("documents"), "doc_id", "text").select(
+    return encode.sparse_postings(w.dealt("documents"), "doc_id", "text").select(
         F.col("id").alias("doc_id"), "idx", F.round(F.col("w").cast("double"), 5).alias("w")
     )
 
 
 @query
 def sparse_encode_idf(w: Workload) -> DataFrame:
-    docs = w.table("documents")
-    postings = encode.sparse_postings(docs, "doc_id", "text")
-    idf = encode.inverse_document_frequency(postings, docs.agg(F.count(F.lit(1))))
+    postings = encode.sparse_postings(w.dealt("documents"), "doc_id", "text")
+    idf = encode.inverse_document_frequency(postings, w.table("documents").agg(F.count(F.lit(1))))
     vectors = encode.gather_vectors(postings, idf, normalise=True)
     return vectors.select(
         F.col("id").alias("doc_id"),
@@ -205,7 +204,7 @@ def sparse_encode_idf(w: Workload) -> DataFrame:
 
 @query
 def encode_plugin(w: Workload) -> DataFrame:
-    texts = w.table("documents").select("doc_id", "text")
+    texts = w.dealt("documents").select("doc_id", "text")
     encoded = encode.encode(texts, "text", encode.hashed_encoder(64))
 
     def total(c: str):
@@ -419,6 +418,4 @@ def delete_audit(w: Workload) -> DataFrame:
     return state.delete_audit(w.base_facts(), w.delete_requests())
 
 
-for _name in ("decode_jobs_", "emit_jobs_"):
-    QUERIES[_name[:-1]] = QUERIES.pop(_name)
 QUERIES.update(STREAM_QUERIES)

@@ -27,7 +27,6 @@ ACTIONS_PER_JOB = 10
 _KEYS = {
     "conversations": "conv_id",
     "documents": "doc_id",
-    "embeddings": "vec_id",
     "events": "event_id",
 }
 
@@ -40,12 +39,15 @@ class Workload:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        """A table, in at least as many partitions as there are cores.
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def dealt(self, name: str) -> DataFrame:
+        """A table in at least as many partitions as there are cores.
 
         A table of many files is read as it is.  One small file would keep all
         row-local work in one task; its rows are dealt out first.
         """
-        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        rows = self.table(name)
         cores = self.spark.sparkContext.defaultParallelism
         if rows.rdd.getNumPartitions() < cores:
             return rows.repartition(cores, _KEYS[name])
@@ -53,10 +55,13 @@ class Workload:
 
     # -- conversations ------------------------------------------------------
 
-    def turns(self) -> DataFrame:
+    def _user_of_conversation(self) -> Column:
         group = whole("conv_id", CONVERSATIONS_PER_USER).cast("string")
-        return self.table("conversations").select(
-            F.concat(F.lit("u"), group).alias("user_id"),
+        return F.concat(F.lit("u"), group).alias("user_id")
+
+    def turns(self) -> DataFrame:
+        return self.dealt("conversations").select(
+            self._user_of_conversation(),
             "conv_id",
             "turn",
             "role",
@@ -67,7 +72,7 @@ class Workload:
         return assemble_jobs(self.turns())
 
     def users(self) -> DataFrame:
-        return self.turns().select("user_id").distinct()
+        return self.table("conversations").select(self._user_of_conversation()).distinct()
 
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select("vec_id", F.col("embedding").alias("dense"))
@@ -89,8 +94,8 @@ class Workload:
         """Jobs per user, counted on turns without reading texts."""
         part = whole("turn", TURNS_PER_JOB)
         return (
-            self.turns()
-            .groupBy("user_id")
+            self.table("conversations")
+            .groupBy(self._user_of_conversation())
             .agg(F.countDistinct("conv_id", part).alias("n_queries"))
         )
 
@@ -104,7 +109,7 @@ class Workload:
     def documents(self) -> DataFrame:
         """Documents as (user_id, memory_id, memory_text); equal texts of a user share an id."""
         return (
-            self.table("documents")
+            self.dealt("documents")
             .withColumn("user_id", self._user_of_document())
             .withColumn("memory_id", memory_id("text", "user_id"))
             .select("doc_id", "user_id", "memory_id", F.col("text").alias("memory_text"), "lang")
@@ -132,7 +137,7 @@ class Workload:
     # -- events as facts, actions and plans ---------------------------------
 
     def events(self) -> DataFrame:
-        return self.table("events").select(
+        return self.dealt("events").select(
             "event_id",
             F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
             "event_type",
