@@ -11,6 +11,8 @@ again overwrites its own folders.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -48,18 +50,25 @@ SCHEMAS["decoded"] = SCHEMAS["jobs"]
 _KEY = ["user_id", "memory_id"]
 
 
+class Commit(NamedTuple):
+    version: int
+    kind: str
+    source: str
+    batch_id: int
+
+
 class MemoryStore:
     """General memories, core profiles, and the log of jobs behind them."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._versions: list[tuple[int, str]] | None = None
+        self._commits: list[Commit] | None = None
 
     def pinned(self) -> MemoryStore:
         """The same store, but reading the versions there are now and no later ones."""
         pin = MemoryStore(self.spark, self.root)
-        pin._versions = self.versions()
+        pin._commits = self.commits()
         return pin
 
     @classmethod
@@ -85,24 +94,33 @@ class MemoryStore:
     def _path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v={version}"
 
-    def versions(self) -> list[tuple[int, str]]:
-        """Committed versions in order, as (number, "delta" or "base"); one small row each."""
-        if self._versions is not None:
-            return self._versions
-        rows = self.spark.read.schema("kind string, v bigint").parquet(f"{self.root}/commits")
-        return sorted((r.v, r.kind) for r in rows.collect())
+    def commits(self) -> list[Commit]:
+        """What is committed, in order of version; one small row each."""
+        if self._commits is not None:
+            return self._commits
+        schema = "source string, batch_id bigint, kind string, v bigint"
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/commits")
+        found = [Commit(r.v, r.kind, r.source, r.batch_id) for r in rows.collect()]
+        return sorted(found, key=lambda c: (c.version, c.kind != "base"))
+
+    def next_version(self) -> int:
+        return self.commits()[-1].version + 1
 
-    def is_committed(self, version: int) -> bool:
-        return (version, "delta") in self.versions()
+    def has_batch(self, source: str, batch_id: int) -> bool:
+        """Whether a batch, numbered by its source, is part of the store already."""
+        return any((c.source, c.batch_id) == (source, batch_id) for c in self.commits())
 
     def _live(self, before: int | None) -> tuple[int, list[int]]:
-        seen = [x for x in self.versions() if before is None or x[0] < before]
-        base = max(v for v, kind in seen if kind == "base")
-        return base, [v for v, kind in seen if kind == "delta" and v > base]
+        seen = [c for c in self.commits() if before is None or c.version < before]
+        base = max(c.version for c in seen if c.kind == "base")
+        return base, [c.version for c in seen if c.kind == "delta" and c.version > base]
 
-    def commit(self, version: int, kind: str = "delta") -> None:
+    def commit(
+        self, version: int, kind: str = "delta", source: str = "", batch_id: int = -1
+    ) -> None:
         """Make a version count.  One row in one file, so it is there or it is not."""
-        row = self.spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1)
+        named = F.lit(source).alias("source"), F.lit(batch_id).cast("bigint").alias("batch_id")
+        row = self.spark.range(1).select(*named).coalesce(1)
         row.write.mode("overwrite").parquet(f"{self.root}/commits/kind={kind}/v={version}")
 
     def stage(self, rows: DataFrame, name: str, version: int) -> DataFrame:
@@ -114,8 +132,9 @@ class MemoryStore:
     def log(self, name: str, before: int | None = None) -> DataFrame:
         """All committed rows of a per-version table, with their version ``v``."""
         deltas = [
-            v for v, kind in self.versions()
-            if kind == "delta" and (before is None or v < before)
+            c.version
+            for c in self.commits()
+            if c.kind == "delta" and (before is None or c.version < before)
         ]
         return self._read(name, deltas)
 
@@ -182,7 +201,7 @@ class MemoryStore:
 
     def compact(self) -> int:
         """Fold all versions into a new base; returns its version."""
-        last = max(v for v, _ in self.versions())
+        last = self.next_version() - 1
         if self._live(None)[1]:
             self._write_base(self.general(), self.core(), last)
         return last

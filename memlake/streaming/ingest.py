@@ -180,20 +180,24 @@ def batch_audit(jobs: DataFrame, actions: DataFrame) -> DataFrame:
 
 def ingest_batch(
     lines: DataFrame,
-    version: int,
+    batch_id: int,
     store: MemoryStore,
     planner: Planner,
     encoder: Encoder,
     expand: Callable[[Column], Column] = fallback_query_text,
+    source: str = "batch",
 ) -> None:
-    """Apply one batch of job lines (column ``value``, optionally ``seq``) as a version.
+    """Apply one batch of job lines (column ``value``, optionally ``seq``) as the next version.
+
+    A batch that its source has delivered before, by its number, is left out.
 
     ``expand`` turns messages into the text to search with; a model's output
     can be joined in before by giving a line source of its own.
     """
     store = store.pinned()
-    if store.is_committed(version):
+    if store.has_batch(source, batch_id):
         return
+    version = store.next_version()
     seen = store.log("jobs", before=version).where("status != 'dead'").select("req_id")
     decoded = store.stage(open_lines(lines, version, expand), "decoded", version)
     jobs = store.stage(mark_replays(decoded, seen), "jobs", version)
@@ -207,7 +211,7 @@ def ingest_batch(
     )
     store.write_core(core_ops(actions), version)
     store.stage(batch_audit(jobs, actions), "audit", version)
-    store.commit(version)
+    store.commit(version, "delta", source, batch_id)
 
 
 def ingest_stream(
@@ -222,7 +226,7 @@ def ingest_stream(
     """Run :func:`ingest_batch` on every micro-batch of a stream until it has no more input."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, store, planner, encoder, **options)
+        ingest_batch(batch, batch_id, store, planner, encoder, source=checkpoint, **options)
         if batch_id % compact_every == compact_every - 1:
             store.compact()
 

@@ -135,3 +135,25 @@ def test_encode_check(spark):
     vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0])], "id int, dense array<float>")
     got = {tuple(r) for r in encode.encode_check(texts, vectors, "id", 2).collect()}
     assert got == {(2, "wrong dimension"), (3, "missing")}
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Run from another folder, where Python workers cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from memlake.operators.encode import encode, hashed_encoder
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+df = spark.createDataFrame([("a b",)], "text string")
+print("vectors:", encode(df, "text", hashed_encoder(4)).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert "vectors: 1" in out.stdout, out.stderr[-2000:]
