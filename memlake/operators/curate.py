@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import transcript_text, whole
+from memlake.operators.retrieve import of_users
 from memlake.schema import ACTION, PLAN_CORE, PLAN_GENERAL, PLAN_REASONING
 
 _STRIDE = 1 << 16
@@ -57,6 +58,7 @@ def ordinal_map(jobs: DataFrame, core: DataFrame, hits: DataFrame) -> DataFrame:
 
     ``hits`` has (req_id, user_id, memory_id, rank) with ranks from 1.
     """
+    core = of_users(core, jobs)
     head = (
         jobs.select("req_id", "user_id")
         .join(core_positions(core), "user_id")
@@ -108,6 +110,7 @@ def build_prompts(
     once per user, so no list is ever gathered whole.  ``hits`` carries
     ``memory_text``.
     """
+    core = of_users(core, jobs)
     # Fixed frame of the prompt: what stands before, between and after the lists.
     opening = "<EXISTING_CORE_MEMORIES> \n"
     middle = "\n </EXISTING_CORE_MEMORIES> \n<EXISTING_OLD_MEMORIES> \n"
@@ -240,7 +243,8 @@ def resolve_targets(actions: DataFrame, core: DataFrame, hits: DataFrame) -> Dat
 
     Ordinals are looked up by (user, place) in the core list and by (job,
     rank) among the hits, so the product of jobs and core lists is never
-    formed.  Both tiers share the numbers.  An unresolved action is void and
+    formed; ``core`` need hold no more than the lists of the users concerned.
+    Both tiers share the numbers.  An unresolved action is void and
     leaves the rest of its job alone.
     """
     valid_delete = (F.col("action_type") == "DELETE") & (F.col("verdict") == "ok")

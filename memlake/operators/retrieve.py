@@ -11,6 +11,8 @@ from memlake.schema import BRANCH_LIMIT, RANK_BASE, RESULT_LIMIT, RRF_K
 # Scores are compared to nine digits, so that sums taken in another order tie.
 _DIGITS = 9
 
+KEY = ("user_id", "memory_id")
+
 
 def rank_lists(candidates: DataFrame, k: int) -> DataFrame:
     """Best ``k`` candidates per query and branch, ranked from 1.
@@ -120,17 +122,20 @@ def retrieve_with_core(queries: DataFrame, general: DataFrame, core: DataFrame)
     return profile.select(out).unionByName(found.select(out))
 
 
+def of_users(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of users that occur in ``asked``."""
+    return rows.join(asked.select("user_id").distinct(), "user_id", "left_semi")
+
+
 def get_all_general(memories: DataFrame, users: DataFrame, limit: int | None = None) -> DataFrame:
     """All general memories of the asked users, without vectors.
 
     No limit by default; with one, the first ``limit`` per user by id.
     """
-    rows = (
-        memories.where(F.col("memory_text").isNotNull())
-        .select("user_id", "memory_id", "memory_text")
-        .join(users.select("user_id").distinct(), "user_id", "left_semi")
-        .withColumn("type", F.lit("general"))
+    texts = memories.where(F.col("memory_text").isNotNull()).select(
+        "user_id", "memory_id", "memory_text"
     )
+    rows = of_users(texts, users).withColumn("type", F.lit("general"))
     if limit is None:
         return rows
     order = Window.partitionBy("user_id").orderBy("memory_id")
@@ -141,9 +146,7 @@ def get_all_general(memories: DataFrame, users: DataFrame, limit: int | None = N
 
 def get_core(core: DataFrame, users: DataFrame) -> DataFrame:
     """Core memories of the asked users; order by (ord, ord_pos).  A miss is no row."""
-    return core.join(users.select("user_id").distinct(), "user_id", "left_semi").withColumn(
-        "type", F.lit("core")
-    )
+    return of_users(core, users).withColumn("type", F.lit("core"))
 
 
 def get_all_memories(general: DataFrame, core: DataFrame, users: DataFrame) -> DataFrame:
@@ -156,11 +159,10 @@ def get_all_memories(general: DataFrame, core: DataFrame, users: DataFrame) -> D
 
 def get_core_status(core: DataFrame, users: DataFrame) -> DataFrame:
     """Number of core memories per asked user, and whether there are any."""
-    counts = core.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_core"))
+    asked = users.select("user_id").distinct()
+    counts = of_users(core, users).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_core"))
     return (
-        users.select("user_id")
-        .distinct()
-        .join(counts, "user_id", "left")
+        asked.join(counts, "user_id", "left")
         .select(
             "user_id",
             F.coalesce("n_core", F.lit(0)).alias("n_core"),
@@ -171,9 +173,15 @@ def get_core_status(core: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def ids_exist(memories: DataFrame, ids: DataFrame) -> DataFrame:
-    """Asked (user_id, memory_id) pairs with an ``found`` flag; reads keys only."""
-    keys = memories.select("user_id", "memory_id").distinct().withColumn("hit", F.lit(True))
-    return ids.join(keys, ["user_id", "memory_id"], "left").withColumn(
-        "found", F.coalesce("hit", F.lit(False))
-    ).drop("hit")
+def ids_exist(memories: DataFrame, ids: DataFrame, on: tuple[str, ...] = KEY) -> DataFrame:
+    """Asked ids with a ``found`` flag; reads keys only.
+
+    The table streams past the asked ids, so few ids mean no shuffle of it.
+    """
+    key = list(on)
+    hits = memories.select(key).join(ids.select(key).distinct(), key, "left_semi").distinct()
+    return (
+        ids.join(hits.withColumn("hit", F.lit(True)), key, "left")
+        .withColumn("found", F.coalesce("hit", F.lit(False)))
+        .drop("hit")
+    )

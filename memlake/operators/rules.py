@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import normalise_fact, sentences
-from memlake.operators.retrieve import dense_topk
+from memlake.operators.retrieve import dense_topk, of_users
 from memlake.operators.state import newest_rows
 
 
@@ -133,19 +133,17 @@ def resolve_conflicts(facts: DataFrame, existing: DataFrame) -> DataFrame:
     head = ["req_id", "user_id", "seq", "pos", "slot"]
     # Stored rows are the large and possibly skewed side: they stream past the
     # one winner of their slot.
-    deletes = (
-        existing.select("user_id", "slot", F.col("value").alias("old_value"), "memory_id")
-        .join(winners.select(*head, "value"), ["user_id", "slot"])
-        .where(F.col("old_value") != F.col("value"))
-        .select(
-            *head,
-            F.lit("DELETE").alias("action_type"),
-            F.lit(None).cast("string").alias("payload"),
-            F.col("memory_id").alias("target_memory_id"),
-        )
+    met = existing.select("user_id", "slot", F.col("value").alias("old_value"), "memory_id").join(
+        winners.select(*head, "value"), ["user_id", "slot"]
+    )
+    deletes = met.where(F.col("old_value") != F.col("value")).select(
+        *head,
+        F.lit("DELETE").alias("action_type"),
+        F.lit(None).cast("string").alias("payload"),
+        F.col("memory_id").alias("target_memory_id"),
     )
-    known = existing.select("user_id", "slot", "value").distinct()
-    inserts = winners.join(known, ["user_id", "slot", "value"], "left_anti").select(
+    stored = met.where(F.col("old_value") == F.col("value")).select("user_id", "slot").distinct()
+    inserts = winners.join(stored, ["user_id", "slot"], "left_anti").select(
         *head,
         F.lit("INSERT").alias("action_type"),
         F.col("memory_text").alias("payload"),
@@ -171,7 +169,7 @@ def suppress_duplicates(
     kind = facts.schema[order_col].dataType
     fresh = (
         keyed(facts, F.col(order_col))
-        .unionByName(keyed(existing, F.lit(None).cast(kind)))
+        .unionByName(keyed(of_users(existing, facts), F.lit(None).cast(kind)))
         .groupBy("user_id", "digest")
         .agg(F.min(order_col).alias(order_col), F.bool_or(F.col(order_col).isNull()).alias("old"))
         .where(~F.col("old"))

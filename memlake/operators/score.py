@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMORY_BLOCK = 8192
+MEMORY_BLOCK = 4096
 QUERY_BLOCK = 1024
 
 _CANDIDATES = (

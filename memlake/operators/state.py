@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.ids import content_id, memory_id
+from memlake.operators.retrieve import ids_exist
 
 
 def general_ops(actions: DataFrame) -> DataFrame:
@@ -152,14 +153,13 @@ def delete_audit(
 ) -> DataFrame:
     """Per request: ids asked for, found and missing, and whether it did anything."""
     key = _key(scope_to_user)
-    known = memories.select(key).distinct().withColumn("hit", F.lit(1))
     asked = _asked_ids(requests).groupBy("request_id", "user_id", "memory_id").agg(
         F.count("memory_id").alias("times")
     )
     return (
-        asked.join(known, key, "left")
+        ids_exist(memories, asked, tuple(key))
         .groupBy("request_id")
-        .agg(F.sum("times").alias("requested"), F.count("hit").alias("deleted"))
+        .agg(F.sum("times").alias("requested"), F.count_if("found").alias("deleted"))
         .select(
             "request_id",
             "requested",

@@ -373,8 +373,7 @@ def suppress_near_duplicates(w: Workload) -> DataFrame:
 @query
 def plan_provider(w: Workload) -> DataFrame:
     facts = rules.extract_facts(w.statement_jobs())
-    empty = w.core().where("false")
-    return rules.rule_actions(facts, empty).select(
+    return rules.rule_actions(facts, w.core()).select(
         "req_id", "user_id", "seq", "tier", "action_type", "payload"
     )
 
@@ -390,8 +389,8 @@ def memory_id(w: Workload) -> DataFrame:
 @query
 def upsert_memories(w: Workload) -> DataFrame:
     incoming = w.documents()
-    stored = state.upsert_memories(
-        w.known_documents().where("false"), w.known_documents(), "doc_id"
+    stored = state.newest_rows(
+        w.known_documents(), ["user_id", "memory_id"], F.desc("doc_id")
     )
     return state.upsert_memories(stored, incoming, "doc_id").select(
         "user_id", "memory_id", "doc_id", F.octet_length("memory_text").alias("n_bytes")

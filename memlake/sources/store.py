@@ -37,6 +37,10 @@ SCHEMAS = {
         "req_id string, user_id string, seq bigint, pos bigint, tier string, slot string, "
         "value string, memory_text string"
     ),
+    "hits": (
+        "req_id string, user_id string, memory_id string, memory_text string, rank int"
+    ),
+    "plans": "req_id string, user_id string, seq bigint, plan_json string",
     "actions": (
         "req_id string, user_id string, seq bigint, tier string, pos bigint, "
         "action_type string, payload string, target_memory_id string, verdict string"

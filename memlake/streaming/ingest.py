@@ -19,7 +19,7 @@ from memlake.functions import fallback_query_text
 from memlake.operators import curate, rules
 from memlake.operators.encode import Encoder, encode, mark_query
 from memlake.operators.requests import skip_gate
-from memlake.operators.retrieve import hybrid_hits, with_texts
+from memlake.operators.retrieve import hybrid_hits, of_users, with_texts
 from memlake.operators.state import core_ops, general_ops
 from memlake.sources.jobs import decode_jobs
 from memlake.sources.store import MemoryStore
@@ -50,7 +50,8 @@ class RulePlanner:
 
     def __call__(self, jobs, store, version, encoder) -> DataFrame:
         facts = store.stage(rules.extract_facts(jobs), "facts", version)
-        return curate.validate_actions(rules.rule_actions(facts, store.core(before=version)))
+        core = of_users(store.core(before=version), facts)
+        return curate.validate_actions(rules.rule_actions(facts, core))
 
 
 class PreparedPlans:
@@ -61,19 +62,24 @@ class PreparedPlans:
 
     def __call__(self, jobs, store, version, encoder) -> DataFrame:
         hits = search_existing(jobs, store, version, encoder, **self.search)
-        plans = curate.plans_from_table(jobs, self.plans)
-        return _resolve(plans, store.core(before=version), hits)
+        plans = store.stage(curate.plans_from_table(jobs, self.plans), "plans", version)
+        return _resolve(plans, of_users(store.core(before=version), jobs), hits)
 
 
 class ModelPlanner:
-    """Plans from a batch function over prompts; a prompt is put together per job."""
+    """Plans from a batch function over prompts; a prompt is put together per job.
+
+    What the model was shown and what it answered are tables of the version:
+    the numbers it names mean what it saw, and it is asked once.
+    """
 
     def __init__(self, planner: curate.Planner, **search):
         self.planner, self.search = planner, search
 
     def __call__(self, jobs, store, version, encoder) -> DataFrame:
-        hits = search_existing(jobs, store, version, encoder, **self.search)
-        core = store.core(before=version)
+        found = search_existing(jobs, store, version, encoder, **self.search)
+        hits = store.stage(found, "hits", version)
+        core = of_users(store.core(before=version), jobs)
         pieces = curate.build_prompts(jobs, core, hits)
         prompts = pieces.groupBy("req_id").agg(
             F.array_sort(F.collect_list(F.struct("section", "part", "text"))).alias("p")
@@ -81,7 +87,8 @@ class ModelPlanner:
         asked = prompts.join(jobs.select("req_id", "user_id", "seq"), "req_id").withColumn(
             "prompt", F.array_join(F.transform("p", lambda x: x["text"]), "")
         )
-        return _resolve(curate.plans_from_model(asked, self.planner), core, hits)
+        answers = curate.plans_from_model(asked, self.planner)
+        return _resolve(store.stage(answers, "plans", version), core, hits)
 
 
 def _resolve(plans: DataFrame, core: DataFrame, hits: DataFrame) -> DataFrame:
