@@ -5,6 +5,7 @@ from memlake.sources.jobs import (
     decode_jobs,
     emit_jobs,
     job_stream,
+    publish_jobs,
     split_decoded,
 )
 from memlake.sources.store import MemoryStore
@@ -16,6 +17,7 @@ __all__ = [
     "decode_jobs",
     "emit_jobs",
     "job_stream",
+    "publish_jobs",
     "split_decoded",
     "work_dir",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.functions.binding import whole
+from memlake.functions.binding import let, whole
 from memlake.functions.ids import content_id
 from memlake.schema import INSERT_THRESHOLD, JOB_JSON, MESSAGES, TURNS_PER_JOB
 
@@ -59,6 +59,12 @@ def emit_jobs(
     return stamped.select("req_id", "user_id", wire.alias("value"))
 
 
+def publish_jobs(lines: DataFrame, path: str | None = None, sink: str = "text", **options) -> None:
+    """Append job lines to a log: text files by default, or any sink taking a ``value`` column."""
+    writer = lines.select("value").write.mode("append").format(sink).options(**options)
+    writer.save(path) if path else writer.save()
+
+
 def job_stream(
     spark: SparkSession,
     path: str | None = None,
@@ -90,14 +96,23 @@ def decode_jobs(lines: DataFrame) -> DataFrame:
     wrong type.  Unknown fields are ignored, missing and null ones take the
     zero value of their type (an empty string, 0, null messages).
     """
+    text = ["STRING", "VOID"]
+
+    def fault(boxed: Column) -> Column:
+        def of_document(doc: Column) -> Column:
+            kinds = [_kind(doc, f"$.{name}") for name in ("ReqId", "UserId")]
+            wrong = [F.coalesce(~kind.isin(text), F.lit(False)) for kind in kinds]
+            return (
+                F.when(doc.isNull() | _kind(boxed, "$[1]").isNotNull(), "not JSON")
+                .when(F.is_variant_null(doc), F.lit(None))
+                .when(~F.schema_of_variant(doc).startswith("OBJECT"), "not an object")
+                .when(F.col("j._corrupt").isNotNull() | wrong[0] | wrong[1], "wrong type")
+            )
+
+        return let(F.try_variant_get(boxed, "$[0]", "variant"), of_document)
+
     # Inside brackets, anything after the object makes the text malformed.
     boxed = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    doc = F.try_variant_get(boxed, "$[0]", "variant")
-    text_or_null = ["STRING", "VOID"]
-    wrong_text = F.lit(False)
-    for name in ("ReqId", "UserId"):
-        kind = _kind(doc, f"$.{name}")
-        wrong_text = wrong_text | (kind.isNotNull() & ~kind.isin(text_or_null))
     parsed = lines.withColumn(
         "j",
         F.from_json(
@@ -105,15 +120,7 @@ def decode_jobs(lines: DataFrame) -> DataFrame:
             f"{JOB_JSON}, _corrupt string",
             {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"},
         ),
-    ).withColumn(
-        "reason",
-        F.when(
-            boxed.isNull() | doc.isNull() | _kind(boxed, "$[1]").isNotNull(), "not JSON"
-        )
-        .when(F.schema_of_variant(doc) == "VOID", F.lit(None))
-        .when(~F.schema_of_variant(doc).startswith("OBJECT"), "not an object")
-        .when(F.col("j._corrupt").isNotNull() | wrong_text, "wrong type"),
-    )
+    ).withColumn("reason", let(boxed, fault))
     return parsed.select(
         F.coalesce("j.ReqId", F.lit("")).alias("req_id"),
         F.coalesce("j.UserId", F.lit("")).alias("user_id"),

@@ -31,7 +31,7 @@ SCHEMAS = {
     ),
     "jobs": (
         f"req_id string, user_id string, seq bigint, messages {MESSAGES}, threshold double, "
-        "expanded_query string, status string, raw string"
+        "expanded_query string, status string, raw string, reason string"
     ),
     "facts": (
         "req_id string, user_id string, seq bigint, pos bigint, tier string, slot string, "
@@ -142,6 +142,10 @@ class MemoryStore:
         ]
         return self._read(name, deltas)
 
+    def dead_letters(self) -> DataFrame:
+        """Job lines that could not be decoded: (raw, reason, v).  They are kept, never retried."""
+        return self.log("jobs").where("status = 'dead'").select("raw", "reason", "v")
+
     def _read(self, name: str, versions: list[int]) -> DataFrame:
         schema = f"{SCHEMAS[name]}, v bigint"
         if not versions:

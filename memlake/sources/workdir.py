@@ -11,11 +11,8 @@ from pyspark.sql import SparkSession
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a session that
-    names none (a local test) gets a temporary folder of its own.
+    The folder comes from ``spark.checkpoint.dir``.  Only for a session that
+    names none (a local test) a temporary folder is made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="memlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memlake-")
     return f"{base.rstrip('/')}/memlake/{name}-{uuid.uuid4().hex}"

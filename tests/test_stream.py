@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memlake.operators.encode import hashed_encoder
 from memlake.plans.read import get_memories
-from memlake.sources import MemoryStore, job_stream
+from memlake.sources import MemoryStore, emit_jobs, job_stream, publish_jobs
 from memlake.streaming import ModelPlanner, PreparedPlans, RulePlanner, ingest_batch, ingest_stream
 from tests.test_curate import delete, insert, plan
 
@@ -69,8 +69,7 @@ def test_stream_equals_one_batch_per_file(spark, tmp_path):
         (2, 0, 0, 2), (3, 1, 1, 1), (2, 0, 1, 1)
     ]
     assert [(a.inserted, a.deleted) for a in audit] == [(3, 0), (2, 1), (1, 0)]
-    dead = store.log("jobs").where("status = 'dead'").collect()
-    assert [d.raw for d in dead] == ["{broken"]
+    assert [tuple(d) for d in store.dead_letters().collect()] == [("{broken", "not JSON", 1)]
     assert [(c.version, c.kind) for c in store.commits() if c.kind == "base"] == [
         (-1, "base"), (1, "base")
     ]
@@ -146,8 +145,17 @@ def test_skipped_jobs_and_a_model(spark, tmp_path):
 
 def test_read_path(spark, tmp_path):
     store = MemoryStore.create(spark, f"{tmp_path}/store")
-    batch = spark.createDataFrame([(v, i) for i, v in enumerate(TALKS[0])], LINES)
-    ingest_batch(batch, 0, store, RulePlanner(), ENCODER)
+    said = [
+        ("kim", [("user", "Hello!"), ("user", "My name is Kim. I live in Paris.")]),
+        ("lee", [("user", "I like jazz.")]),
+    ]
+    sent = spark.createDataFrame(
+        said, "user_id string, messages array<struct<role:string,content:string>>"
+    )
+    publish_jobs(emit_jobs(sent), f"{tmp_path}/log")
+    ingest_stream(
+        job_stream(spark, f"{tmp_path}/log"), store, RulePlanner(), ENCODER, f"{tmp_path}/cp"
+    ).awaitTermination()
     schema = (
         "query_id string, user_id string, messages array<struct<role:string,content:string>>, "
         "query string, threshold double"
