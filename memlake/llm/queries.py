@@ -4,19 +4,61 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memlake.llm import bpe
+from memlake.llm import bpe, chunks, pii, quality, token_counts, urls
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     encoded = bpe.encode(
-        docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=["doc_id"], decoded=True
+        _read(spark, sf_dir, "documents"),
+        public_tokenizers.path(RANKS),
+        public_tokenizers.PATTERN,
+        keep=["doc_id"],
+        decoded=True,
     )
     return bpe.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+def _written(spans: str):
+    """kind:start:end of an array of spans, comma-joined."""
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, one), ",")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *(f"n_{kind}" for kind in pii.KINDS),
+        F.sha2(_written("base_spans"), 256).alias("base_sha256"),
+        _written("spans").alias("spans"),
+    )
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.passages(_read(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), keep=["doc_id"])
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels"))
+    return quality.judge(docs, model, keep=["doc_id"])
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"), urls.train(urls.labelled_urls(spark)), keep=["page_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_substring_dedup, op4_token_counts, op5_quality_rules, op9_url_filters)}
 ORACLE: dict[str, str] = {}
