@@ -15,7 +15,7 @@ STAGES = [
     ("quality_rules", stages.quality_rules),
     ("jaccard_join", stages.jaccard_join),
     ("decontamination", stages.decontamination),
-    ("pii", stages.pii),
+    ("pii", stages.pii_masked),
     ("byte_bpe", stages.byte_bpe),
 ]
 
