@@ -20,7 +20,7 @@ BUCKETS = 1 << 15
 #: Scale of the relative frequencies, so that usual weights are near one.
 SCALE = 100.0
 #: A text is rejected from this probability of poor quality on.
-THRESHOLD = 0.5
+THRESHOLD = 0.9
 #: Base limits: words at least, and per cent of the words in repeated windows at most.
 MIN_WORDS, MAX_REPEATED = 10, 20
 
