@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, chunks, pii, quality, token_counts, urls
+from memlake.llm import bpe, chunks, pii, quality, token_counts, toxicity, urls
 
 RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
@@ -60,5 +60,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"), urls.train(urls.labelled_urls(spark)), keep=["page_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_substring_dedup, op4_token_counts, op5_quality_rules, op9_url_filters)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_substring_dedup, op4_token_counts, op5_quality_rules, op9_url_filters, op10_toxicity)}
 ORACLE: dict[str, str] = {}
