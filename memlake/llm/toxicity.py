@@ -17,11 +17,13 @@ from memlake.llm.linear import calibrate, sigmoid
 
 #: Labelled rows of each class that are learned from, at most; chosen by a hash of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
-#: A word or word beginning is an insult if its documents are toxic that much more often than chance allows
+#: A word or word beginning may be an insult if its documents are toxic that much more often than chance allows
 #: (standard deviations), if its log-odds reach LEAST_ODDS, and if a share of the toxic documents has it.
-LEAST_SURPRISE, LEAST_ODDS, LEAST_DOCUMENTS, LEAST_SHARE = 5.0, 2.5, 4, 0.004
-#: Lengths of word beginnings, and insults that a lexicon holds at most (the most frequent ones).
-BEGINNINGS, MOST_INSULTS = (4, 5, 6), 5000
+LEAST_SURPRISE, LEAST_ODDS, LEAST_DOCUMENTS, LEAST_SHARE = 5.0, 4.0, 3, 0.004
+#: Lengths of word beginnings, and candidates looked at, at most (the most frequent ones).
+BEGINNINGS, MOST_CANDIDATES = (4, 5, 6), 5000
+#: Insults are chosen until each toxic document has that many, or none explains enough of the documents that lack them.
+COVER = 2
 #: A document is predicted toxic from this score on.
 THRESHOLD = 0.3
 #: Weight of all matched clauses from which on more of them change nothing.
@@ -177,20 +179,50 @@ def learn(rows: DataFrame) -> Lexicon:
         .withColumn("odds", odds)
         .where((F.col("surprise") >= LEAST_SURPRISE) & (F.col("odds") >= LEAST_ODDS))
         .orderBy(F.desc("toxic"), "word")
-        .limit(MOST_INSULTS)
+        .limit(MOST_CANDIDATES)
         .collect()
     )
     lexicon = Lexicon()
-    for row in sorted(chosen, key=lambda r: (len(r.word.rstrip("*")), r.word)):
-        stem = row.word.rstrip("*")
-        if row.word.endswith("*"):
-            if not any(stem[:k] in lexicon.beginnings for k in BEGINNINGS):
-                lexicon.beginnings[stem] = min(row.odds, 8.0)
-        elif not any(stem[:k] in lexicon.beginnings for k in BEGINNINGS):
-            lexicon.words[stem] = min(row.odds, 8.0)
+    odds_of = {row.word: min(row.odds, 8.0) for row in chosen}
+    for word in _cover(rows.where("toxic = 1"), odds_of, max(LEAST_DOCUMENTS, LEAST_SHARE * n_toxic)):
+        (lexicon.beginnings if word.endswith("*") else lexicon.words)[word.rstrip("*")] = odds_of[word]
     return lexicon
 
 
+def _cover(toxic: DataFrame, odds_of: dict[str, float], least: float) -> list[str]:
+    """Of the candidates those that it takes to explain the toxic texts, each one COVER times if possible.
+
+    What copies of a toxic text have in common explains nothing more once its insults are chosen. The
+    candidates of each text come to the driver: the learned sample is bounded, and so is their number.
+    """
+    sent = toxic.sparkSession.sparkContext.broadcast(frozenset(odds_of))
+
+    def start():
+        wanted = sent.value
+        return lambda texts: [[sorted(_word_features(set(tokens(text or ""))) & wanted) for text in texts]]
+
+    texts = [row.found for row in map_batches(toxic, [], ["text"], "found array<string>", start).collect()]
+    holders: dict[str, list[int]] = {word: [] for word in odds_of}
+    for i, found in enumerate(texts):
+        for word in found:
+            holders[word].append(i)
+    lacking, chosen = [COVER] * len(texts), []
+    while holders:
+        gain = {word: sum(lacking[i] > 0 for i in ids) for word, ids in holders.items()}
+        best = max(holders, key=lambda word: (gain[word], odds_of[word], len(word), word))
+        if gain[best] < least:
+            break
+        chosen.append(best)
+        for i in holders.pop(best):
+            lacking[i] -= 1
+        # A word that begins with a chosen beginning, or begins as one, says the same again.
+        stem = best.rstrip("*")
+        for word in [w for w in holders if w.startswith(stem) or stem.startswith(w.rstrip("*"))]:
+            del holders[word]
+        holders = {word: ids for word, ids in holders.items() if gain[word] >= least}
+    return chosen
+
+
 @dataclass
 class Model:
     """A lexicon and the calibration of its weights; untrained: probability 0 for every text."""
@@ -204,7 +236,7 @@ class Model:
 
 
 def _weights(df: DataFrame, lexicon: Lexicon, keep: list[str], text: str = "text") -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.beginnings))  # MOST_INSULTS at most
+    sent = df.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.beginnings))  # MOST_CANDIDATES at most
 
     def start():
         own = Lexicon(*sent.value)
