@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, chunks, pii, quality, token_counts, toxicity, urls
+from memlake.llm import bpe, chunks, decontaminate, pii, quality, token_counts, toxicity, urls
 
 RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
@@ -56,6 +56,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model, keep=["doc_id"])
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return marked.select("doc_id", F.inline("leaks"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"), urls.train(urls.labelled_urls(spark)), keep=["page_id"])
 
@@ -65,5 +70,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_substring_dedup, op4_token_counts, op5_quality_rules, op9_url_filters, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_substring_dedup, op4_token_counts, op5_quality_rules, op8_decontamination, op9_url_filters, op10_toxicity)}
 ORACLE: dict[str, str] = {}
