@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, chunks, decontaminate, html, pii, quality, token_counts, toxicity, urls
+from memlake.llm import bpe, chunks, decontaminate, html, jaccard, pii, quality, token_counts, toxicity, urls
 
 RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
@@ -60,6 +60,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.mark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return marked.select("doc_id", F.inline("leaks"))
@@ -74,5 +78,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_substring_dedup, op4_token_counts, op5_quality_rules, op6_html_extraction, op8_decontamination, op9_url_filters, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_substring_dedup, op4_token_counts, op5_quality_rules, op6_html_extraction, op7_jaccard_join, op8_decontamination, op9_url_filters, op10_toxicity)}
 ORACLE: dict[str, str] = {}
