@@ -24,6 +24,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_DIGIT = re.compile("[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -49,6 +50,8 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """(start, end, kind) of each base match that passes its check, by start, then kind as in KINDS."""
     spans = [(start, end, "email") for start, end in emails(text)] if "@" in text else []
+    if not _DIGIT.search(text):
+        return spans
     for match in _IP.finditer(text):
         if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in match[0].split(".")):
             spans.append((*match.span(), "ip"))
@@ -95,6 +98,7 @@ def _plain_letters() -> dict[str, str]:
 
 
 _PLAIN = _plain_letters()
+_ODD_CHARACTERS = frozenset("".join(_PLAIN) + _HIDDEN)
 _ODD = re.compile("[" + re.escape("".join(_PLAIN) + _HIDDEN) + "]")
 _WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
 #: A run of spelled digits and digits, three words at least, with at most a blank, hyphen, dot or comma between.
@@ -225,11 +229,35 @@ def addresses(source: str) -> Reading:
     return reading
 
 
+_LETTERS_ONLY = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
+_SPELLED_SET = frozenset(word.encode() for word in _DIGITS)
+
+
+def _words(text: str) -> set[bytes]:
+    return set(text.lower().encode().translate(_LETTERS_ONLY).split())
+
+
+def _has_odd(text: str) -> bool:
+    return not text.isascii() and not _ODD_CHARACTERS.isdisjoint(text)
+
+
+def _has_spelled(text: str) -> bool:
+    """Whether the transducer of digits can change the text; whole words are looked up first, as patterns are slow."""
+    return not _SPELLED_SET.isdisjoint(_words(text)) and bool(_ANY_SPELLED.search(text))
+
+
+def _has_address(text: str) -> bool:
+    if "@" not in text and not any(mark in text for mark in "[({<"):
+        if " dot " not in text and " dot " not in text.lower():
+            return False
+    return bool(_HINTS.search(text))
+
+
 def disguised_spans(text: str) -> list[Span]:
     """Spans in `text` of the identifiers that only its deobfuscated reading shows."""
     chain, current = [], text
-    for needed, transducer in ((_ODD, letters), (_ANY_SPELLED, digits), (_HINTS, addresses)):
-        if needed.search(current):
+    for needed, transducer in ((_has_odd, letters), (_has_spelled, digits), (_has_address, addresses)):
+        if needed(current):
             reading = transducer(current)
             if reading.changed:
                 chain.append(reading)
