@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import bpe, chunks, decontaminate, html, jaccard, pii, quality, token_counts, toxicity, urls
+from memlake.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
@@ -61,7 +64,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_read(spark, sf_dir, "documents"))
+    return jaccard.join(_read(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +81,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_substring_dedup, op4_token_counts, op5_quality_rules, op6_html_extraction, op7_jaccard_join, op8_decontamination, op9_url_filters, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_byte_bpe,
+        op2_pii,
+        op3_substring_dedup,
+        op4_token_counts,
+        op5_quality_rules,
+        op6_html_extraction,
+        op7_jaccard_join,
+        op8_decontamination,
+        op9_url_filters,
+        op10_toxicity,
+    )
+}
