@@ -103,8 +103,8 @@ _ODD = re.compile("[" + re.escape("".join(_PLAIN) + _HIDDEN) + "]")
 _WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
 #: A run of spelled digits and digits, three words at least, with at most a blank, hyphen, dot or comma between.
 _SPELLED = re.compile(
-    rf"(?<![A-Za-z0-9])(?:plus[ -]+)?(?:(?:{_WORD}|[0-9]+)(?:[ .,-]{{1,2}}(?:point |dot )?))*+"
-    rf"(?:{_WORD}|[0-9]+)(?![A-Za-z])",
+    rf"(?<![A-Za-z0-9])(?:plus[ -]+)?(?:{_WORD}|[0-9]+)(?![A-Za-z])"
+    rf"(?:[ .,-]{{1,2}}(?:(?:point|dot)[ ]?)?(?:{_WORD}|[0-9]+)(?![A-Za-z]))*+",
     re.IGNORECASE,
 )
 _SPELLED_WORD = re.compile(rf"(?<![A-Za-z])(?:{_WORD}|plus|dot|point)(?![A-Za-z])", re.IGNORECASE)

@@ -30,7 +30,7 @@ THRESHOLD = 0.3
 FULL = 40.0
 
 # Closed classes of the grammar, in the languages of the corpus.
-TARGETS = frozenset("you your youre yourself he she they them him her du dich dir ihr euch sie tu toi vous te tú ti usted ustedes él ella".split())
+TARGETS = frozenset("you your youre yourself him her them du dich dir ihr euch tu toi vous te tú ti usted ustedes".split())
 NEGATIONS = frozenset("not no never isn't aren't wasn't nobody nicht kein keine nie pas jamais ne ni nunca jamás tampoco".split())
 REPORTS = frozenset("said says wrote quoted called claimed alleged sagte sagt schrieb zitiert dit écrit cité dijo dice escribió citó".split())
 THREATS = frozenset("kill hurt destroy beat strangle stab shoot hang töten umbringen erschlagen tuer frapper étrangler matar golpear".split())
