@@ -11,11 +11,6 @@ from memlake.llm.batches import stored
 from memlake.llm.queries import RANKS
 
 
-def _bounded(ids: DataFrame) -> DataFrame:
-    """`ids`, to be broadcast if they are counted to be few."""
-    return F.broadcast(ids) if ids.count() <= jaccard.BROADCAST_ROWS else ids
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep; labels are matched with the documents at hand."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -26,11 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, the one with the smallest id; documents without id stay."""
     joined = stored(jaccard.join(docs).select("doc_id", "component_id"), "components").where("doc_id is not null")
-    kept = docs.join(_bounded(joined.where("component_id < doc_id").select("doc_id").distinct()), "doc_id", "left_anti")
+    kept = docs.join(jaccard.bounded(joined.where("component_id < doc_id").select("doc_id").distinct()), "doc_id", "left_anti")
     again = joined.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.take(1):
         return kept.select(docs.columns)
-    again = _bounded(again)
+    again = jaccard.bounded(again)
     once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
