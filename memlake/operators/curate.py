@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import transcript_text, whole
+from memlake.functions.wire import plan_of
 from memlake.operators.retrieve import of_users
-from memlake.schema import ACTION, PLAN_CORE, PLAN_GENERAL, PLAN_REASONING
+from memlake.schema import ACTION
 
 _STRIDE = 1 << 16
 
@@ -160,11 +161,6 @@ def build_prompts(
     return rows(core_pieces).unionByName(rows(general_pieces))
 
 
-def _plan_schema(keys: list[str]) -> str:
-    fields = [f"`{PLAN_REASONING}` string", "_corrupt string"]
-    return ", ".join(fields + [f"`{k}` array<{ACTION}>" for k in keys])
-
-
 def parse_plans(
     plans: DataFrame, accept_underscore_keys: bool = True
 ) -> tuple[DataFrame, DataFrame]:
@@ -173,31 +169,16 @@ def parse_plans(
     The keys hold a space; by default the spelling with an underscore, which
     planners are often shown, is read as well.
     """
-    spaced = [PLAN_CORE, PLAN_GENERAL]
-    under = [k.replace(" ", "_") for k in spaced]
-    keys = spaced + (under if accept_underscore_keys else [])
-    parsed = plans.withColumn(
-        "p",
-        F.from_json(
-            "plan_json",
-            _plan_schema(keys),
-            {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"},
-        ),
-    )
-    bad = F.col("p").isNull() | F.col("p._corrupt").isNotNull()
+    parsed = plans.withColumn("p", plan_of("plan_json", accept_underscore_keys))
+    bad = F.col("p.reason").isNotNull()
 
-    def tier(name: str, spaced_key: str, under_key: str):
-        listed = F.col("p")[spaced_key]
-        if accept_underscore_keys:
-            listed = F.coalesce(listed, F.col("p")[under_key])
+    def tier(name: str):
         return F.transform(
-            F.coalesce(listed, F.array().cast(f"array<{ACTION}>")),
+            F.coalesce(F.col("p")[name], F.array().cast(f"array<{ACTION}>")),
             lambda a, i: F.struct(F.lit(name).alias("tier"), i.alias("pos"), a.alias("a")),
         )
 
-    both = F.concat(
-        tier("core", spaced[0], under[0]), tier("general", spaced[1], under[1])
-    )
+    both = F.concat(tier("core"), tier("general"))
     actions = (
         parsed.where(~bad)
         .select("req_id", "user_id", "seq", F.explode(both).alias("x"))

@@ -150,10 +150,14 @@ def get_core(core: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def get_all_memories(general: DataFrame, core: DataFrame, users: DataFrame) -> DataFrame:
-    """Core then general memories of the asked users, not de-duplicated."""
-    out = ["user_id", "tier_ord", "memory_id", "memory_text", "type"]
+    """Core memories in stored order (ord, ord_pos), then general ones, not de-duplicated.
+
+    General memories have no order of their own; theirs is null.
+    """
+    out = ["user_id", "tier_ord", "ord", "ord_pos", "memory_id", "memory_text", "type"]
     head = get_core(core, users).withColumn("tier_ord", F.lit(0))
     tail = get_all_general(general, users).withColumn("tier_ord", F.lit(1))
+    tail = tail.withColumns({c: F.lit(None).cast("bigint") for c in ("ord", "ord_pos")})
     return head.select(out).unionByName(tail.select(out))
 
 

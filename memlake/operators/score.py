@@ -31,13 +31,21 @@ def _sizes(rows: DataFrame, name: str) -> DataFrame:
 
 
 def cell_plan(
-    memory_sizes: DataFrame, query_sizes: DataFrame, memory_block: int, query_block: int
+    memory_sizes: DataFrame,
+    query_sizes: DataFrame,
+    memory_block: int,
+    query_block: int,
+    how: str = "inner",
 ) -> DataFrame:
-    """Blocks per user on both sides, for users who have both."""
-    return memory_sizes.join(query_sizes, "user_id").select(
+    """Blocks per user on both sides: at least one, so that a size that is missing loses nobody."""
+
+    def blocks(n: str, block: int):
+        return F.greatest(F.lit(1), F.coalesce(F.ceil(F.col(n) / block), F.lit(1))).cast("int")
+
+    return memory_sizes.join(query_sizes, "user_id", how).select(
         "user_id",
-        F.ceil(F.col("n_memories") / memory_block).cast("int").alias("m_blocks"),
-        F.ceil(F.col("n_queries") / query_block).cast("int").alias("q_blocks"),
+        blocks("n_memories", memory_block).alias("m_blocks"),
+        blocks("n_queries", query_block).alias("q_blocks"),
     )
 
 
@@ -193,19 +201,24 @@ def score_cells(
     query_sizes: DataFrame | None = None,
     memory_block: int = MEMORY_BLOCK,
     query_block: int = QUERY_BLOCK,
+    sizes_complete: bool = False,
 ) -> DataFrame:
     """Per-cell top-k candidates of the asked branches.
 
     ``queries`` has (query_id, user_id, threshold, dense, sparse), ``memories``
     (user_id, memory_id, dense, sparse); a null vector leaves its row out of
     that branch.  The size frames (user_id, n_memories / n_queries) may be
-    given where counting the inputs themselves would repeat costly work.
+    given where counting the inputs themselves would repeat costly work.  Users that a given frame lacks
+    have one block.  With ``sizes_complete`` the caller says that none is lacking, and users
+    without queries are left out early.
     """
+    given = memory_sizes is not None or query_sizes is not None
     plan = cell_plan(
         memory_sizes if memory_sizes is not None else _sizes(memories, "n_memories"),
         query_sizes if query_sizes is not None else _sizes(queries, "n_queries"),
         memory_block,
         query_block,
+        "full" if given and not sizes_complete else "inner",
     )
     rows = _rows_by_cell(queries, memories, plan, branches)
     rows = rows.repartition("cell").sortWithinPartitions("cell", "side")

@@ -85,11 +85,11 @@ def upsert_memories(
 
 
 def core_ops(actions: DataFrame) -> DataFrame:
-    """Valid core actions as operations.  An inserted entry's id is made of its job and place."""
+    """Valid core actions as operations.  An inserted entry's id is made of its user, job and place."""
     insert = F.col("action_type") == "INSERT"
     return actions.where((F.col("tier") == "core") & (F.col("verdict") == "ok")).select(
         "user_id",
-        F.when(insert, content_id(F.concat_ws(":", "req_id", F.col("pos").cast("string"))))
+        F.when(insert, content_id(F.concat_ws(":", "user_id", "req_id", F.col("pos").cast("string"))))
         .otherwise(F.col("target_memory_id"))
         .alias("memory_id"),
         F.when(insert, F.col("payload")).alias("memory_text"),

@@ -6,8 +6,41 @@ operators' definitions: ordered loops as window frames, lists as row sets.
 
 from __future__ import annotations
 
-from memlake.functions.ids import OID_NAMESPACE
-from memlake.operators.rules import GATE_RULES, SINGLE_SLOTS, SLOT_RULES
+# Fixed values, written out so that these texts depend on nothing they check: the object-identifier namespace, the gate
+# (pattern, verdict, reason) and the slots (pattern, tier, slot), in the order they are tried.
+OID_NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"
+GATE = [
+    (r"^(hi|hello|hey|thanks|thank you|good (morning|evening|night)|bye)\b", "drop", "chitchat"),
+    (r"^how are you\b", "drop", "chitchat"),
+    (r"\b(right now|at the moment)\b", "drop", "temporary state"),
+    (r"\bi('m| am) (hungry|tired|sleepy|bored|driving|going to)\b", "drop", "temporary state"),
+    (r"^(please )?(write|fix|explain|translate|summari[sz]e|help me)\b", "drop", "task"),
+    (r"\bhere is my code\b", "drop", "task"),
+    (r"^(that's|that is) (cool|nice|great)\b", "drop", "vague"),
+    (r"^i like (that|it|this)[.!?]*$", "drop", "vague"),
+    (r"\bmy name is\b", "keep", "biographical"),
+    (r"\bi('m| am) [0-9]+( years old)?\b", "keep", "biographical"),
+    (r"\bi live in\b", "keep", "biographical"),
+    (r"\bi work as\b", "keep", "biographical"),
+    (r"\bi('m| am) (a|an) (man|woman|non-binary)\b", "keep", "biographical"),
+    (r"\bi have a (dog|cat|bird|pet)\b", "keep", "biographical"),
+    (r"\b(always|never) (answer|reply|use|call)\b", "keep", "preference"),
+    (r"\bi (prefer|like|love|hate|dislike)\b", "keep", "preference"),
+    (r"\bi (code|program) in\b", "keep", "project"),
+    (r"\bi('m| am) (building|writing|working on)\b", "keep", "project"),
+]
+SLOTS = [
+    (r"\bmy name is ([\p{L}\p{N}][\p{L}\p{N} '-]*)", "core", "name"),
+    (r"\bi(?:'m| am) ([0-9]+)(?: years old)?\b", "core", "age"),
+    (r"\bi(?:'m| am) (?:a|an) (man|woman|non-binary)\b", "core", "gender"),
+    (r"\bi live in ([\p{L}\p{N}][\p{L}\p{N} '-]*)", "core", "location"),
+    (r"\bi work as (?:a |an )?([\p{L}\p{N}][\p{L}\p{N} '-]*)", "core", "profession"),
+    (r"\b((?:always|never) (?:answer|reply|use|call)\b[^.!?]*)", "core", "instruction"),
+    (r"\bi(?:'m| am) (?:building|writing|working on) ([^.!?]+)", "general", "project"),
+    (r"\bi (?:code|program) in ([^.!?]+)", "general", "skill"),
+    (r"\bi have a ((?:dog|cat|bird|pet)\b[^.!?]*)", "general", "pet"),
+    (r"\bi ((?:prefer|like|love|hate|dislike) [^.!?]+)", "general", "taste"),
+]
 
 
 def _uuid5(name: str) -> str:
@@ -32,8 +65,7 @@ _SENT = r"[^.!?]+[.!?]+(\s|$)"
 
 _TURNS = """turns AS (
   SELECT 'u' || (conv_id // 5) AS user_id, conv_id, turn, role, text AS content,
-         'r' || conv_id || CASE WHEN turn // 1000 > 0 THEN '-' || (turn // 1000) ELSE '' END AS req_id,
-         conv_id * 1048576 + turn // 1000 AS seq
+         'r' || conv_id AS req_id, conv_id AS seq
   FROM conversations)"""
 
 _JOBS = _TURNS + """, jobs AS (
@@ -180,14 +212,14 @@ def _quote(text: str) -> str:
 
 def _case(rules: list, value) -> str:
     arms = " ".join(
-        f"WHEN regexp_matches(low, {_quote(r.pattern)}) THEN {value(r)}" for r in rules
+        f"WHEN regexp_matches(low, {_quote(r[0])}) THEN {value(r)}" for r in rules
     )
     return f"CASE {arms} END"
 
 
-_GATE = _case(GATE_RULES, lambda r: _quote(f"{r.verdict}:{r.reason}"))
-_SLOT = _case(SLOT_RULES, lambda r: _quote(f"{r.tier}:{r.slot}"))
-_VALUE = _case(SLOT_RULES, lambda r: f"trim(regexp_extract(low, {_quote(r.pattern)}, 1))")
+_GATE = _case(GATE, lambda r: _quote(f"{r[1]}:{r[2]}"))
+_SLOT = _case(SLOTS, lambda r: _quote(f"{r[1]}:{r[2]}"))
+_VALUE = _case(SLOTS, lambda r: f"trim(regexp_extract(low, {_quote(r[0])}, 1))")
 
 _FACTS = _EVENTS + """, facts AS (
   SELECT *, event_type AS slot, k::VARCHAR AS value_, event_type || ': ' || k AS memory_text
@@ -311,9 +343,9 @@ SELECT user_id, memory_id, memory_text, ord, ord_pos, 'core' AS type FROM core
 WHERE user_id IN (SELECT 'u' || (conv_id // 5) FROM conversations)"""
 ORACLE["get_all_memories"] = f"""WITH {_MEMS}, {_CORE}, asked AS (
   SELECT DISTINCT 'u' || (conv_id // 5) AS user_id FROM conversations)
-SELECT user_id, 0 AS tier_ord, memory_id, memory_text, 'core' AS type FROM core
+SELECT user_id, 0 AS tier_ord, ord, ord_pos, memory_id, memory_text, 'core' AS type FROM core
 WHERE user_id IN (SELECT user_id FROM asked)
-UNION ALL SELECT user_id, 1, memory_id, memory_text, 'general' FROM mems
+UNION ALL SELECT user_id, 1, NULL, NULL, memory_id, memory_text, 'general' FROM mems
 WHERE user_id IN (SELECT user_id FROM asked)"""
 ORACLE["get_core_status"] = f"""WITH {_CORE}, asked AS (
   SELECT user_id FROM ev UNION SELECT 'u' || (conv_id // 5) FROM conversations)
@@ -441,7 +473,7 @@ ORACLE["apply_core"] = f"""WITH {_EVENTS}, rows_ AS (
          -1 AS ord, min(event_id) AS ord_pos
   FROM ev WHERE event_type = 'signup' GROUP BY user_id, k
   UNION ALL
-  SELECT user_id, {_uuid5("req_id || ':' || pos")}, 'core ' || k, seq, pos
+  SELECT user_id, {_uuid5("user_id || ':' || req_id || ':' || pos")}, 'core ' || k, seq, pos
   FROM ev WHERE event_type NOT IN ('signup', 'error'))
 SELECT user_id, memory_id, memory_text, ord, ord_pos FROM rows_ r
 WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.event_type = 'error' AND e.user_id = r.user_id
@@ -481,7 +513,7 @@ ORACLE["stream_apply"] = f"""{_LOG}
 SELECT DISTINCT user_id, {_uuid5('memory_text || user_id')} AS memory_id, memory_text,
        64 AS dim, n_terms FROM said"""
 ORACLE["stream_core"] = f"""{_LOG}
-SELECT user_id, {_uuid5("req_id || ':' || pos")} AS memory_id, 'location: city ' || k AS memory_text,
+SELECT user_id, {_uuid5("user_id || ':' || req_id || ':' || pos")} AS memory_id, 'location: city ' || k AS memory_text,
        seq AS ord, pos AS ord_pos
 FROM (SELECT * EXCLUDE (replaces) FROM moved
       UNION ALL SELECT * FROM early WHERE user_id NOT IN (SELECT user_id FROM moved))"""
@@ -501,6 +533,11 @@ UNION ALL
 UNION ALL
 {_AUDIT.format(replayed='count(DISTINCT req_id)', live=0, side='NOT', homes='early', old='false', v=2)}"""
 
+ORACLE["delete_stored"] = ORACLE["delete_memories"]
+ORACLE["delete_stored_audit"] = ORACLE["delete_audit"]
+ORACLE["get_all_by_key"] = ORACLE["get_all_memories"]
+ORACLE["get_core_by_key"] = ORACLE["get_core"]
+
 # Integer widths as Spark has them.
 _INT = {
     "attach_dense": ["dim"],
@@ -517,6 +554,9 @@ _INT = {
 }
 _BIGINT = {
     "get_core": ["ord_pos"],
+    "get_all_memories": ["ord_pos"],
+    "get_all_by_key": ["ord_pos"],
+    "get_core_by_key": ["ord_pos"],
     "retrieve_with_core": ["ord_pos"],
     "dedup_replay": ["applied", "replayed"],
     "ingest_audit": ["dead", "not_found", "ignored", "invalid", "v"],

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.operators import curate, encode, requests, retrieve, rules, state
+from memlake.plans import read
 from memlake.plans.streams import STREAM_QUERIES
 from memlake.sources import jobs as job_log
 from memlake.workload import Workload
@@ -21,7 +22,7 @@ def query(fn: Callable[[Workload], DataFrame]) -> Callable[[Workload], DataFrame
 
 
 def _search_sizes(w: Workload) -> dict:
-    return {"memory_sizes": w.memory_sizes(), "query_sizes": w.query_sizes()}
+    return {"memory_sizes": w.memory_sizes(), "query_sizes": w.query_sizes(), "sizes_complete": True}
 
 
 def _hits(w: Workload) -> DataFrame:
@@ -280,6 +281,23 @@ def get_all_memories(w: Workload) -> DataFrame:
     return retrieve.get_all_memories(w.memory_texts(), w.core(), w.users())
 
 
+def _raw_keys(w: Workload) -> DataFrame:
+    """Keys as clients send them, quoted and padded; every user also sends an empty one."""
+    users = w.users()
+    quoted = users.select(F.concat(F.lit(" '"), F.col("user_id"), F.lit('" ')).alias("user_id"))
+    return quoted.unionByName(users.select(F.lit("\"' ").alias("user_id")))
+
+
+@query
+def get_all_by_key(w: Workload) -> DataFrame:
+    return read.all_of(_raw_keys(w), w.memory_texts(), w.core())
+
+
+@query
+def get_core_by_key(w: Workload) -> DataFrame:
+    return read.core_of(_raw_keys(w), w.core())
+
+
 @query
 def get_core_status(w: Workload) -> DataFrame:
     return retrieve.get_core_status(w.core(), w.events().select("user_id").union(w.users()))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from memlake.functions import fallback_query_text
 from memlake.operators.encode import hashed_encoder
+from memlake.schema import SPARSE
 from memlake.sources.jobs import job_stream
 from memlake.sources.store import MemoryStore
 from memlake.sources.workdir import work_dir
-from memlake.streaming.ingest import RulePlanner, ingest_stream
+from memlake.streaming.ingest import RulePlanner, delete_from_store, ingest_stream
 from memlake.workload import Workload
 
 
@@ -89,9 +90,32 @@ def ingest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_log(spark, sf_dir, ["early", "late", "again"]).log("audit")
 
 
+def _store_of_facts(spark: SparkSession, w: Workload) -> MemoryStore:
+    missing = {"dense": F.lit(None).cast("array<float>"), "sparse": F.lit(None).cast(SPARSE)}
+    facts = w.base_facts().withColumns(missing)
+    return MemoryStore.create(spark, f"{work_dir(spark, 'facts')}/store", general=facts)
+
+
+def delete_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store of facts holds after all delete requests have been applied to it."""
+    w = Workload(spark, sf_dir)
+    store = _store_of_facts(spark, w)
+    delete_from_store(w.delete_requests(), store)
+    return store.general().select("user_id", "memory_id", "memory_text")
+
+
+def delete_stored_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of all delete requests applied to a store of facts."""
+    w = Workload(spark, sf_dir)
+    audit = delete_from_store(w.delete_requests(), _store_of_facts(spark, w))
+    return audit.withColumn("request_id", F.col("request_id").cast("bigint"))
+
+
 STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_apply": stream_apply,
     "stream_core": stream_core,
     "dedup_replay": dedup_replay,
     "ingest_audit": ingest_audit,
+    "delete_stored": delete_stored,
+    "delete_stored_audit": delete_stored_audit,
 }

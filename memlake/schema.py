@@ -6,9 +6,6 @@ MESSAGE = "struct<role:string,content:string>"
 MESSAGES = f"array<{MESSAGE}>"
 SPARSE = "struct<indices:array<bigint>,values:array<float>>"
 
-#: Wire form of one ingest job; the outer keys are capitalised, the messages' are not.
-JOB_JSON = f"ReqId string, UserId string, Messages {MESSAGES}, Threshold double"
-
 ACTION = "struct<action_type:string,payload:string,target_memory_id:string>"
 
 # Score thresholds of the write and the read path, byte budgets
@@ -29,10 +26,6 @@ PLAN_REASONING = "step_1 critical_reasoning"
 PLAN_CORE = "step_2 core_memory_actions"
 PLAN_GENERAL = "step_3 general_memory_actions"
 
-#: Conversations are cut into jobs of at most this many turns, so that no
-#: conversation, however long, is ever gathered into one record.
-TURNS_PER_JOB = 1000
-
 # Assumed defaults of the fused search; parameters wherever they are used.
 BRANCH_LIMIT = 10
 RESULT_LIMIT = 10

@@ -5,32 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.functions.binding import let, whole
 from memlake.functions.ids import content_id
-from memlake.schema import INSERT_THRESHOLD, JOB_JSON, MESSAGES, TURNS_PER_JOB
+from memlake.functions.wire import job_of
+from memlake.schema import INSERT_THRESHOLD
 
 
-def assemble_jobs(turns: DataFrame, turns_per_job: int = TURNS_PER_JOB) -> DataFrame:
-    """Turn rows (conv_id, user_id, turn, role, content) into job rows.
+def assemble_jobs(turns: DataFrame) -> DataFrame:
+    """Turn rows (conv_id, user_id, turn, role, content) into one job row per conversation.
 
-    A conversation longer than ``turns_per_job`` becomes several consecutive
-    jobs, as a client sending it in instalments would make them, so the
-    gathered array is bounded whatever the conversation's length.
+    A job is one record on the wire, with all its messages; so is it here, however long the conversation.
     """
-    part = whole("turn", turns_per_job)
     message = F.struct(F.col("turn"), F.col("role"), F.col("content"))
-    gathered = turns.groupBy("user_id", "conv_id", part.alias("part")).agg(
+    gathered = turns.groupBy("user_id", "conv_id").agg(
         F.array_sort(F.collect_list(message)).alias("m")
     )
-    suffix = F.when(F.col("part") > 0, F.concat(F.lit("-"), F.col("part"))).otherwise(F.lit(""))
     return gathered.select(
-        F.concat(F.lit("r"), F.col("conv_id"), suffix).alias("req_id"),
+        F.concat(F.lit("r"), F.col("conv_id")).alias("req_id"),
         "user_id",
         F.transform(
             "m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
         ).alias("messages"),
         F.lit(INSERT_THRESHOLD).alias("threshold"),
-        (F.col("conv_id") * (1 << 20) + F.col("part")).alias("seq"),
+        F.col("conv_id").alias("seq"),
     )
 
 
@@ -72,63 +68,49 @@ def job_stream(
     schema: str | None = None,
     **options,
 ) -> DataFrame:
-    """Stream of raw job lines: column ``value``, and ``seq`` where the source has one.
+    """Stream of raw job lines: column ``value``, and what the source says of their order.
 
-    Text files by default; any source with a ``value`` column will do, such as
+    That is its own ``seq`` where it has one, else ``order``: partition and offset of a queue, or time, path and
+    place in it of a file. Text files by default; any source with a ``value`` column will do, such as
     ``source="kafka"`` with that connector's options.  Tasks share the work.
     """
     reader = spark.readStream.format(source).options(**options)
     if schema:
         reader = reader.schema(schema)
     rows = reader.load(path) if path else reader.load()
-    order = [c for c in ("seq",) if c in rows.columns]
-    return rows.select(F.col("value").cast("string").alias("value"), *order)
-
-
-def _kind(doc: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+    value = F.col("value").cast("string").alias("value")
+    if "seq" in rows.columns:
+        return rows.select(value, "seq")
+    if {"partition", "offset"} <= set(rows.columns):
+        return rows.select(value, F.struct("partition", "offset").alias("order"))
+    if not path:
+        return rows.select(value)
+    file = F.col("_metadata")
+    order = F.struct(
+        file["file_modification_time"].alias("time"),
+        file["file_path"].alias("path"),
+        file["file_block_start"].alias("block"),
+    )
+    return rows.select(value, order.alias("order"))
 
 
 def decode_jobs(lines: DataFrame) -> DataFrame:
     """Decode job lines (column ``value``); adds ``reason``, null where the line is good.
 
     A line is dead when it is not one JSON object, or when a field has the
-    wrong type.  Unknown fields are ignored, missing and null ones take the
-    zero value of their type (an empty string, 0, null messages).
+    wrong type.  Keys match in any case, the last of equal ones wins, unknown ones are ignored; missing
+    and null fields take the zero value of their type (an empty string, 0, null messages).
     """
-    text = ["STRING", "VOID"]
-
-    def fault(boxed: Column) -> Column:
-        def of_document(doc: Column) -> Column:
-            kinds = [_kind(doc, f"$.{name}") for name in ("ReqId", "UserId")]
-            wrong = [F.coalesce(~kind.isin(text), F.lit(False)) for kind in kinds]
-            return (
-                F.when(doc.isNull() | _kind(boxed, "$[1]").isNotNull(), "not JSON")
-                .when(F.is_variant_null(doc), F.lit(None))
-                .when(~F.schema_of_variant(doc).startswith("OBJECT"), "not an object")
-                .when(F.col("j._corrupt").isNotNull() | wrong[0] | wrong[1], "wrong type")
-            )
-
-        return let(F.try_variant_get(boxed, "$[0]", "variant"), of_document)
-
-    # Inside brackets, anything after the object makes the text malformed.
-    boxed = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    parsed = lines.withColumn(
-        "j",
-        F.from_json(
-            "value",
-            f"{JOB_JSON}, _corrupt string",
-            {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"},
-        ),
-    ).withColumn("reason", let(boxed, fault))
+    others = [c for c in lines.columns if c != "value"]
+    parsed = lines.select(*others, "value", job_of("value").alias("j"))
     return parsed.select(
-        F.coalesce("j.ReqId", F.lit("")).alias("req_id"),
-        F.coalesce("j.UserId", F.lit("")).alias("user_id"),
-        F.col("j.Messages").cast(MESSAGES).alias("messages"),
-        F.coalesce("j.Threshold", F.lit(0.0)).alias("threshold"),
-        *[c for c in lines.columns if c != "value"],
+        "j.req_id",
+        "j.user_id",
+        "j.messages",
+        "j.threshold",
+        *others,
         F.col("value").alias("raw"),
-        "reason",
+        "j.reason",
     )
 
 

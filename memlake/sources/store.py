@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from memlake.operators.state import apply_core, last_ops, newest_rows
+from memlake.operators.state import apply_core, newest_rows
 from memlake.schema import MESSAGES, SPARSE
 
 SCHEMAS = {
@@ -51,6 +51,8 @@ SCHEMAS = {
     ),
 }
 SCHEMAS["decoded"] = SCHEMAS["jobs"]
+SCHEMAS["lines"] = "value string, part int, line bigint"
+SCHEMAS["deletes"] = "request_id string, requested bigint, deleted bigint, missing bigint, status string"
 _KEY = ["user_id", "memory_id"]
 
 
@@ -192,8 +194,8 @@ class MemoryStore:
     # -- writing ------------------------------------------------------------
 
     def write_general(self, ops: DataFrame, version: int) -> None:
-        """The last operation per memory of a batch; ``ops`` carries vectors on its inserts."""
-        self.stage(last_ops(ops), "general", version)
+        """The operations of a batch, one per memory; ``ops`` carries vectors on its inserts."""
+        self.stage(ops, "general", version)
 
     def write_core(self, ops: DataFrame, version: int) -> None:
         """Entries a batch adds and outlive it, and the ids it strikes."""

@@ -4,8 +4,16 @@ from memlake.streaming.ingest import (
     ModelPlanner,
     PreparedPlans,
     RulePlanner,
+    delete_from_store,
     ingest_batch,
     ingest_stream,
 )
 
-__all__ = ["ModelPlanner", "PreparedPlans", "RulePlanner", "ingest_batch", "ingest_stream"]
+__all__ = [
+    "ModelPlanner",
+    "PreparedPlans",
+    "RulePlanner",
+    "delete_from_store",
+    "ingest_batch",
+    "ingest_stream",
+]

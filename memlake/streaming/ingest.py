@@ -15,14 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from memlake.functions import fallback_query_text
+from memlake.functions import content_id, fallback_query_text
 from memlake.operators import curate, rules
 from memlake.operators.encode import Encoder, encode, mark_query
 from memlake.operators.requests import skip_gate
-from memlake.operators.retrieve import hybrid_hits, of_users, with_texts
-from memlake.operators.state import core_ops, general_ops
+from memlake.operators.retrieve import of_users
+from memlake.operators.state import core_ops, delete_audit, general_ops, last_ops
+from memlake.plans.read import search_hits
+from memlake.schema import SPARSE
 from memlake.sources.jobs import decode_jobs
-from memlake.sources.store import MemoryStore
+from memlake.sources.store import SCHEMAS, MemoryStore
 
 #: Works out the actions of a batch: (jobs, store, version, encoder) to rows of
 #: (req_id, user_id, seq, tier, pos, action_type, payload, target_memory_id,
@@ -40,9 +42,8 @@ def search_existing(
         "threshold",
         mark_query(F.col("expanded_query")).alias("text"),
     )
-    stored = store.general(before=version)
-    hits = hybrid_hits(encode(asked, "text", encoder).drop("text"), stored, **search)
-    return with_texts(hits, stored).withColumnRenamed("query_id", "req_id")
+    hits = search_hits(asked, store.general(before=version), encoder, **search)
+    return hits.withColumnRenamed("query_id", "req_id")
 
 
 class RulePlanner:
@@ -107,20 +108,45 @@ def _resolve(plans: DataFrame, core: DataFrame, hits: DataFrame) -> DataFrame:
     return curate.resolve_targets(valid, core, hits).unionByName(failed)
 
 
-def _with_seq(lines: DataFrame, version: int) -> DataFrame:
-    """Order of the jobs: the log's own (column ``seq``), else version, file part and line."""
+#: Lines of a batch, at most; a version's numbers begin where the one before can reach at most.
+LINES_PER_BATCH = 1 << 40
+
+
+def _with_seq(lines: DataFrame, store: MemoryStore, version: int) -> DataFrame:
+    """Lines numbered in the log's own order: by ``seq``, else by ``order``, else as they come.
+
+    They are sorted by ranges and written; each range's lines are numbered from where the ranges
+    before it end. So no number has gaps to run out of.
+    """
     if "seq" in lines.columns:
         return lines
-    row = F.monotonically_increasing_id()
-    within = F.shiftleft(F.shiftright(row, 33), 26) + row.bitwiseAND(F.lit((1 << 26) - 1))
-    return lines.withColumn("seq", F.lit(version) * F.lit(1 << 41) + within)
+    order = ["order"] if "order" in lines.columns else []
+    line = F.monotonically_increasing_id()
+    ranged = lines.withColumn("line", line).repartitionByRange(*order, "line").sortWithinPartitions(*order, "line")
+    within = line.bitwiseAND(F.lit((1 << 33) - 1))
+    written = store.stage(
+        ranged.select("value", F.spark_partition_id().alias("part"), within.alias("line")), "lines", version
+    )
+    # One row for each range.
+    counts = written.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.withColumn("end", F.sum("n").over(Window.orderBy("part")))
+    if (ends.agg(F.max("end")).first()[0] or 0) > LINES_PER_BATCH:
+        raise ValueError(f"a batch has more than {LINES_PER_BATCH} lines")
+    first = ends.select("part", (F.col("end") - F.col("n") + F.lit(version * LINES_PER_BATCH)).alias("first"))
+    return written.join(first, "part").select("value", (F.col("first") + F.col("line")).alias("seq"))
 
 
 def open_lines(
-    lines: DataFrame, version: int, expand: Callable[[Column], Column]
+    lines: DataFrame, expand: Callable[[Column], Column]
 ) -> DataFrame:
-    """Decoded lines with their search text and a first ``status``: dead, skipped or accepted."""
-    decoded = decode_jobs(_with_seq(lines, version))
+    """Decoded lines with their search text and a first ``status``: dead, skipped or accepted.
+
+    A job without an id gets one, made of its number and its text.
+    """
+    decoded = decode_jobs(lines)
+    own = F.concat(F.lit("job-"), content_id(F.concat_ws(":", F.col("seq").cast("string"), "raw")))
+    nameless = F.col("reason").isNull() & (F.col("req_id") == "")
+    decoded = decoded.withColumn("req_id", F.when(nameless, own).otherwise(F.col("req_id")))
     gated = skip_gate(decoded.withColumn("expanded_query", expand(F.col("messages"))))
     return gated.withColumn(
         "status",
@@ -194,7 +220,7 @@ def ingest_batch(
     expand: Callable[[Column], Column] = fallback_query_text,
     source: str = "batch",
 ) -> None:
-    """Apply one batch of job lines (column ``value``, optionally ``seq``) as the next version.
+    """Apply one batch of job lines (column ``value``, optionally ``seq`` or ``order``) as the next version.
 
     A batch that its source has delivered before, by its number, is left out.
 
@@ -206,12 +232,15 @@ def ingest_batch(
         return
     version = store.next_version()
     seen = store.log("jobs", before=version).where("status != 'dead'").select("req_id")
-    decoded = store.stage(open_lines(lines, version, expand), "decoded", version)
+    decoded = store.stage(
+        open_lines(_with_seq(lines, store, version), expand), "decoded", version
+    )
     jobs = store.stage(mark_replays(decoded, seen), "jobs", version)
     accepted = jobs.where("status = 'accepted'")
     actions = store.stage(planner(accepted, store, version, encoder), "actions", version)
     # Encoding comes before anything is applied, and applying is one commit.
-    ops = general_ops(actions)
+    # Only what outlives its batch is encoded.
+    ops = last_ops(general_ops(actions))
     inserts = encode(ops.where("is_insert"), "memory_text", encoder)
     store.write_general(
         ops.where("not is_insert").unionByName(inserts, allowMissingColumns=True), version
@@ -228,9 +257,14 @@ def ingest_stream(
     encoder: Encoder,
     checkpoint: str,
     compact_every: int = 50,
+    trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
-    """Run :func:`ingest_batch` on every micro-batch of a stream until it has no more input."""
+    """Run :func:`ingest_batch` on every micro-batch of a stream.
+
+    Until it has no more input, unless ``trigger`` says otherwise, such as ``{"processingTime": "10 seconds"}``
+    for a consumer that listens on.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, batch_id, store, planner, encoder, source=checkpoint, **options)
@@ -240,6 +274,32 @@ def ingest_stream(
     return (
         lines.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def delete_from_store(requests: DataFrame, store: MemoryStore, scope_to_user: bool = True) -> DataFrame:
+    """Delete general memories by requests (request_id, user_id, memory_ids) as the next version; returns the audit.
+
+    Ids that do not exist are passed over.  Unscoped, an id is deleted whoever asks.
+    """
+    store = store.pinned()
+    version = store.next_version()
+    general = store.general()
+    asked = requests.select("user_id", F.explode("memory_ids").alias("memory_id"))
+    key = ["user_id", "memory_id"] if scope_to_user else ["memory_id"]
+    found = general.select("user_id", "memory_id").join(asked.select(key).distinct(), key, "left_semi")
+    # Both before anything is deleted.
+    audit = store.stage(
+        delete_audit(general, requests, scope_to_user).withColumn("request_id", F.col("request_id").cast("string")),
+        "deletes",
+        version,
+    )
+    gone = {name: F.lit(None).cast(kind) for name, kind in (("memory_text", "string"), ("dense", "array<float>"), ("sparse", SPARSE))}
+    store.stage(found.withColumns(gone | {"is_insert": F.lit(False)}), "general", version)
+    store.stage(store.spark.createDataFrame([], SCHEMAS["core"]), "core", version)
+    for name in ("jobs", "audit"):
+        store.stage(store.spark.createDataFrame([], SCHEMAS[name]), name, version)
+    store.commit(version, "delta", "delete", version)
+    return audit

@@ -17,7 +17,6 @@ from memlake.schema import (
     PLAN_CORE,
     PLAN_GENERAL,
     PLAN_REASONING,
-    TURNS_PER_JOB,
 )
 from memlake.sources.jobs import assemble_jobs
 
@@ -82,7 +81,7 @@ class Workload:
         asked = self.jobs().select(
             F.col("req_id").alias("query_id"),
             "user_id",
-            F.shiftright("seq", 20).alias("vec_id"),
+            F.col("seq").alias("vec_id"),
             F.lit(threshold).alias("threshold"),
             mark_query(context_query_text("messages")).alias("text"),
         )
@@ -92,11 +91,10 @@ class Workload:
 
     def query_sizes(self) -> DataFrame:
         """Jobs per user, counted on turns without reading texts."""
-        part = whole("turn", TURNS_PER_JOB)
         return (
             self.table("conversations")
             .groupBy(self._user_of_conversation())
-            .agg(F.countDistinct("conv_id", part).alias("n_queries"))
+            .agg(F.countDistinct("conv_id").alias("n_queries"))
         )
 
     # -- general memories ---------------------------------------------------

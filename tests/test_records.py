@@ -10,7 +10,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.functions import memory_id
+from memlake.functions import context_query_text, fallback_query_text, memory_id
+from memlake.functions.wire import read_job, read_plan
 from memlake.operators import encode, requests
 from memlake.sources import assemble_jobs, decode_jobs, emit_jobs, split_decoded
 
@@ -62,14 +63,63 @@ def test_emit_round_trip(spark):
     assert list(wire) == ["ReqId", "UserId", "Messages", "Threshold"]
 
 
-def test_long_conversations_become_several_jobs(spark):
+def test_a_long_conversation_is_one_job(spark):
     turns = spark.range(2500).select(
         F.lit("u").alias("user_id"), F.lit(7).cast("bigint").alias("conv_id"),
-        F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("content"),
+        F.col("id").alias("turn"), F.lit("user").alias("role"),
+        F.concat(F.lit("S"), F.col("id"), F.lit(".")).alias("content"),
     )
-    jobs = assemble_jobs(turns, 1000).orderBy("seq").collect()
-    assert [(j.req_id, len(j.messages)) for j in jobs] == [("r7", 1000), ("r7-1", 1000), ("r7-2", 500)]
-    assert [m.content for j in jobs for m in j.messages] == [str(i) for i in range(2500)]
+    (job,) = assemble_jobs(turns).select(
+        "req_id", "seq", F.size("messages").alias("n"), context_query_text("messages").alias("context"),
+        fallback_query_text("messages").alias("fallback"),
+    ).collect()
+    assert (job.req_id, job.seq, job.n) == ("r7", 7, 2500)
+    kept, size = [], 0
+    for i in reversed(range(2500)):
+        if size >= 500:
+            break
+        kept.insert(0, f"S{i}.")
+        size += len(kept[0])
+    assert job.context == "\n".join(kept)
+    assert job.fallback.startswith("S2499.\nS2498.\n") and len(job.fallback) > 1900
+
+
+def test_lines_of_any_length_decode(spark):
+    one = json.dumps({"ReqId": "a", "UserId": "u", "Messages": [{"role": "user", "content": "x" * 22_000_000}]})
+    many = json.dumps({"ReqId": "b", "Messages": [{"role": "user", "content": "y" * 500_000}] * 60})
+    df = spark.createDataFrame([(one,), (many,)], "value string")
+    rows = decode_jobs(df).select("req_id", "reason", F.size("messages").alias("n"), F.length(F.col("messages")[0]["content"]).alias("l"))
+    assert sorted(map(tuple, rows.collect())) == [("a", None, 1, 22_000_000), ("b", None, 60, 500_000)]
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ('{"reqId":"r","USERID":"u","messages":[{"Role":"user","CONTENT":"c"}],"threshold":1}', ("r", "u", [("user", "c")], 1.0, None)),
+        ('{"ReqId":"a","reqid":"b","ReqId":null}', ("b", "", None, 0.0, None)),
+        ('{"Messages":[{"role":"user","content":"1","content":"2"},null]}', ("", "", [("user", "2"), ("", "")], 0.0, None)),
+        ('{"Messages":[{"role":"user","content":5}]}', ("", "", None, 0.0, "wrong type")),
+        ('{"Messages":["x"]}', ("", "", None, 0.0, "wrong type")),
+        ('{"Threshold":"0.5"}', ("", "", None, 0.0, "wrong type")),
+        ('{"Threshold":NaN}', ("", "", None, 0.0, "not JSON")),
+        ('{"UserId":true}', ("", "", None, 0.0, "wrong type")),
+        ('{"ReqId":"r","Other":{"ReqId":5}}', ("r", "", None, 0.0, None)),
+        ('{"ReqId":"\\ud800x"}', ("\ufffdx", "", None, 0.0, None)),
+        ("7", ("", "", None, 0.0, "not an object")),
+    ],
+)
+def test_wire_form(line, want):
+    got = read_job(line)
+    messages = got["messages"] and [(m["role"], m["content"]) for m in got["messages"]]
+    assert (got["req_id"], got["user_id"], messages, got["threshold"], got["reason"]) == want
+
+
+def test_plans_have_strict_types():
+    action = {"action_type": "DELETE", "target_memory_id": 4}
+    assert read_plan(json.dumps({"step_2 core_memory_actions": [action]}))["reason"] == "wrong type"
+    plan = read_plan('{"STEP_2 core_memory_actions":[{"Action_Type":"INSERT","payload":"x","payload":"y"}]}')
+    assert plan["core"] == [{"action_type": "INSERT", "payload": "y", "target_memory_id": None}] and plan["reason"] is None
+    assert read_plan("null")["reason"] == "not an object"
 
 
 def test_requests(spark):

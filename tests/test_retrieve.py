@@ -156,3 +156,14 @@ def test_reads(spark, tables):
     ids = spark.createDataFrame([("u1", "g1"), ("u1", "zz")], "user_id string, memory_id string")
     found = {r.memory_id: r.found for r in retrieve.ids_exist(general, ids).collect()}
     assert found == {"g1": True, "zz": False}
+
+
+def test_sizes_that_lack_a_user_lose_nothing(spark, corpus):
+    queries, memories = (spark.createDataFrame(rows, schema) for rows, schema in zip(corpus, (QUERY, MEMORY)))
+    want = sorted(map(tuple, retrieve.dense_topk(queries, memories, 3).collect()))
+    some = queries.where("user_id <> 'a'").groupBy("user_id").agg(F.count("*").alias("n_queries"))
+    got = retrieve.dense_topk(queries, memories, 3, query_sizes=some)
+    assert sorted(map(tuple, got.collect())) == want
+    few = memories.where("user_id <> 'b'").groupBy("user_id").agg(F.count("*").alias("n_memories"))
+    got = retrieve.dense_topk(queries, memories, 3, memory_sizes=few)
+    assert sorted(map(tuple, got.collect())) == want

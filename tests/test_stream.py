@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from memlake.operators.encode import hashed_encoder
 from memlake.plans.read import get_memories
 from memlake.sources import MemoryStore, emit_jobs, job_stream, publish_jobs
-from memlake.streaming import ModelPlanner, PreparedPlans, RulePlanner, ingest_batch, ingest_stream
+from memlake.streaming import (
+    ModelPlanner,
+    PreparedPlans,
+    RulePlanner,
+    delete_from_store,
+    ingest_batch,
+    ingest_stream,
+)
 from tests.test_curate import delete, insert, plan
 
 ENCODER = hashed_encoder(16)
@@ -169,3 +176,64 @@ def test_read_path(spark, tmp_path):
     assert [(r.query_id, r.memory_text) for r in rows] == [
         ("q1", "taste: like jazz"), ("q2", "name: kim"), ("q2", "location: paris")
     ]
+
+
+def test_jobs_go_by_the_order_of_their_files_not_by_size(spark, tmp_path):
+    padding = "x " * 3000
+    files = [
+        [line("a", "kim", "I live in Rome.")],
+        [line("b", "kim", f"{padding}. I live in Oslo."), line("b2", "lee", "I like jazz.", padding)],
+        [line("c", "kim", "I live in Bonn.")],
+    ]
+    store = stream(spark, tmp_path, "order", files, 10)
+    assert profile(store, "kim") == ["location: bonn"]
+    jobs = store.log("jobs").orderBy("seq").collect()
+    assert [j.req_id for j in jobs] == ["a", "b", "b2", "c"]
+    assert [j.seq - jobs[0].seq for j in jobs] == [0, 1, 2, 3]
+
+
+def test_jobs_without_id_share_nothing(spark, tmp_path):
+    store = MemoryStore.create(spark, f"{tmp_path}/store")
+    rows = [line("", "kim", "I live in Rome."), line("", "kim", "My name is Kim."), line("", "lee", "I live in Rome.")]
+    ingest_batch(spark.createDataFrame([(v, i) for i, v in enumerate(rows)], LINES), 0, store, RulePlanner(), ENCODER)
+    ids = [r.memory_id for r in store.core().collect()]
+    assert len(ids) == len(set(ids)) == 3
+    later = spark.createDataFrame([(line("", "kim", "I live in Bonn."), 10)], LINES)
+    ingest_batch(later, 1, store, RulePlanner(), ENCODER)
+    assert profile(store, "kim") == ["name: kim", "location: bonn"] and profile(store, "lee") == ["location: rome"]
+
+
+def test_deleting_from_the_store(spark, tmp_path):
+    store = MemoryStore.create(spark, f"{tmp_path}/store")
+    rows = [line("a", "kim", "I like jazz. I like tea."), line("b", "lee", "I like jazz.")]
+    ingest_batch(spark.createDataFrame([(v, i) for i, v in enumerate(rows)], LINES), 0, store, RulePlanner(), ENCODER)
+    ids = {(r.user_id, r.memory_text): r.memory_id for r in store.general().collect()}
+    asked = [("1", "kim", [ids["kim", "taste: like jazz"], "nothing"]), ("2", "kim", [ids["lee", "taste: like jazz"]])]
+    requests = spark.createDataFrame(asked, "request_id string, user_id string, memory_ids array<string>")
+    audit = {r.request_id: (r.deleted, r.missing, r.status) for r in delete_from_store(requests, store).collect()}
+    assert audit == {"1": (1, 1, "ok"), "2": (0, 1, "not found")}
+    assert facts(store) == [("kim", "taste: like tea"), ("lee", "taste: like jazz")]
+    store.compact()
+    assert facts(store) == [("kim", "taste: like tea"), ("lee", "taste: like jazz")]
+    ingest_batch(spark.createDataFrame([(line("c", "kim", "I like jazz."), 9)], LINES), 1, store, RulePlanner(), ENCODER)
+    assert ("kim", "taste: like jazz") in facts(store)
+
+
+def test_each_text_is_encoded_once(spark, tmp_path):
+    log = tmp_path / "encoded"
+    log.mkdir()
+
+    def counting(texts):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text("\n".join(texts))
+        return ENCODER(texts)
+
+    store = MemoryStore.create(spark, f"{tmp_path}/store")
+    rows = [line("a", "kim", "I like jazz."), line("b", "kim", "I like jazz."), line("c", "lee", "I like tea.")]
+    ingest_batch(spark.createDataFrame([(v, i) for i, v in enumerate(rows)], LINES), 0, store, RulePlanner(), counting)
+    schema = "query_id string, user_id string, messages array<struct<role:string,content:string>>, query string, threshold double"
+    requests = spark.createDataFrame([("q1", "kim", None, "jazz", 0.0), ("q2", "lee", None, "tea", 0.0)], schema)
+    assert get_memories(requests, store.general(), store.core(), counting).count() == 2
+    seen = sorted(t for f in log.iterdir() for t in f.read_text().split("\n") if t)
+    assert seen == ["_Query_jazz", "_Query_tea", "taste: like jazz", "taste: like tea"]
