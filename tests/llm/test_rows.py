@@ -169,6 +169,38 @@ def test_passages_are_found_and_others_left_alone(spark):
     assert {row.doc_id for row in found if not row.duplicate} == {0}
 
 
+def test_passages_of_51_words_are_all_found(spark):
+    draw = random.Random(51)
+    prose = lambda n: ["".join(draw.choices("abcdefghijklm", k=draw.choice((1, 2, 2, 3, 4, 9)))) for _ in range(n)]
+    texts = []
+    for _ in range(3000):
+        passage = prose(51)
+        texts += [" ".join(prose(draw.randint(0, 60)) + passage + prose(draw.randint(0, 60))) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {row.doc_id: row for row in chunks.passages(df).collect()}
+    assert set(found) == set(range(6000))
+    for i in range(0, 6000, 2):
+        first, second = found[i], found[i + 1]
+        one, two = (texts[row.doc_id].encode()[row.start_byte : row.end_byte] for row in (first, second))
+        assert one == two and 27 <= first.n_words == len(one.split()) <= 51
+        assert not first.duplicate and second.duplicate and second.first_doc_id == i
+
+
+def test_kept_runs_meet_every_window():
+    import numpy as np
+
+    draw = np.random.default_rng(9)
+    for values in (1, 2, 3, 50, 1 << 40):
+        for n in (1, 5, 13, 14, 40, 300):
+            hashes = draw.integers(0, values, n).astype(np.uint64)
+            kept = chunks.kept_runs(hashes)
+            for a in range(max(1, n - chunks.NEIGHBOURS + 1)):
+                window = hashes[a : a + chunks.NEIGHBOURS]
+                here = kept[(kept >= a) & (kept < a + chunks.NEIGHBOURS)]
+                assert window.min() in hashes[here]
+    assert len(chunks.kept_runs(np.zeros(13_000, np.uint64))) < 1100
+
+
 # --- op4
 
 
