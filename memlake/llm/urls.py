@@ -5,6 +5,7 @@ Everything here is DataFrame functions and MLlib; no Python runs in tasks.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -28,6 +29,8 @@ WORDS = (
     "ads adult bet bets bonus buy casino cheap click coupon dating deal deals discount farm free jackpot loan loans lottery "
     "meds pharma pills poker porn prize promo replica sale sex slots spam sweepstakes track tracker traffic viagra win x xxx"
 ).split()
+# Those of WORDS that ordinary hosts have too.
+MILD = frozenset("bonus buy cheap click deal deals farm free promo prize sale track traffic win x".split())
 # Parts of ordinary host names, for the labelled table.
 PLAIN = (
     "archive atlas botany campus chronicle city climate clinic college council courier daily forum garden gazette geology "
@@ -35,29 +38,69 @@ PLAIN = (
     "review river school science society studio survey theater times tribune university valley village weekly winery"
 ).split()
 _PATHS = ("/", "/en/{n}", "/fr/{n}/", "/de/{n}.html", "/es/{n}?page=2&ref=x", "/en/{n}?utm_source=feed", "/a/b/{n}#top")
-_ENDINGS = ("com", "net", "org")
-
-
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url and label (1: block), made by rule: hosts of two hyphened words of WORDS against plain ones.
-
-    Both classes share prefixes, endings and paths, so that only the host tells them apart. One plain host in
-    six has a hyphen too.
+_LONG = ("/2024/05/{n}/{a}-{b}-{c}", "/{a}/{b}/{c}/{n}.html", "/{a}?q={b}%20{c}&lang=en&page={n}", "/{a}/{b}?id={n}&ref={c}&utm_source=feed")
+_ENDINGS = ("com", "net", "org", "info", "top")
+
+
+def _spam_host(draw: random.Random) -> str:
+    plain, listed, kind = draw.choice(PLAIN), draw.choice(WORDS), draw.random()
+    join = draw.choice(("-", "-", "."))
+    if kind < 0.3:
+        return f"{listed}-{draw.choice(WORDS)}"
+    if kind < 0.5:
+        other = draw.choice((plain, _invented(draw)))
+        strong = draw.choice([word for word in WORDS if word not in MILD])
+        return join.join(draw.sample((strong, other), 2))
+    if kind < 0.6:
+        return f"{listed}{join}{plain}{draw.randint(10, 9999)}"
+    if kind < 0.85:
+        letters = "abcdefghijklmnopqrstuvwxyz" + "0123456789" * draw.randint(0, 1)
+        return "".join(draw.choices(letters, k=draw.randint(12, 24)))
+    return "-".join(draw.choices(PLAIN, k=draw.randint(1, 4)))
+
+
+def _invented(draw: random.Random) -> str:
+    return "".join(draw.choice(("th", "er", "on", "ti", "an", "re", "le", "ou", "sh", "in")) for _ in range(draw.randint(2, 5)))
+
+
+def _plain_host(draw: random.Random) -> str:
+    plain, other, kind = draw.choice(PLAIN), draw.choice(PLAIN), draw.random()
+    if kind < 0.35:
+        return plain
+    if kind < 0.65:
+        return draw.choice((f"{plain}-{other}", plain + other, f"{plain}.{other}"))
+    if kind < 0.78:
+        return _invented(draw)
+    if kind < 0.9:
+        return draw.choice(("-", ".")).join(draw.sample((draw.choice(sorted(MILD)), plain), 2))
+    if kind < 0.93:
+        return f"{plain}-{draw.choice(WORDS)}"
+    if kind < 0.94:
+        return "-".join(draw.sample(sorted(MILD), 2))
+    return f"{plain}{draw.randint(1, 9999)}"
+
+
+def labelled_urls(spark: SparkSession, n: int = 1200, seed: int = 7) -> DataFrame:
+    """`n` rows of url and label (1: block), half of each, made by rule, so that no feature alone tells them apart.
+
+    Blocked hosts have two words of WORDS, one, or none (random letters and digits, plain words); those of plain words
+    and one in four of the others have many parameters with escapes. Allowed hosts are plain words, some with digits or
+    a word of MILD, a few with any word of WORDS or with two; one in eight has a long address. Both have all endings.
     """
-    rows = []
-    for i, word in enumerate(WORDS):
-        for k in (1, 7):
-            host = f"{word}-{WORDS[(i + k) % len(WORDS)]}"
-            rows.append((host, 1, 3 * i + k))
-    for i, word in enumerate(PLAIN):
-        rows.append((word, 0, 3 * i))
-        other = PLAIN[(i + 5) % len(PLAIN)]
-        rows.append((f"{word}-{other}" if i % 3 == 0 else word + other, 0, 3 * i + 1))
-    values = []
-    for host, label, n in rows:
-        prefix = ("", "www.", "blog.", "m.")[n % 4]
-        path = _PATHS[n % len(_PATHS)].format(n=(n * 7919) % 100_000)
-        values.append(f"('http{'s' * (n % 2)}://{prefix}{host}.example.{_ENDINGS[n % 3]}{path}', {label})")
+    draw, values = random.Random(seed), []
+    for i in range(n):
+        label = i % 2
+        host = _spam_host(draw) if label else _plain_host(draw)
+        a, b, c = draw.choices(PLAIN, k=3)
+        path = draw.choice(_LONG if draw.random() < (0.33 if label else 0.12) else _PATHS)
+        path = path.format(n=draw.randint(0, 99_999), a=a, b=b, c=c)
+        plain = all(word in PLAIN for word in host.split("-"))
+        if label and (plain or draw.random() < 0.25) or draw.random() < 0.01:
+            more = "&".join(f"{k}={draw.randint(0, 1 << 40)}%2F" for k in ("aff", "cid", "sub", "clk")[: draw.randint(2, 4)])
+            path += ("&" if "?" in path else "?") + more
+        ending = draw.choices(_ENDINGS, (4, 4, 4, 2, 2) if label else (5, 4, 5, 1, 1))[0]
+        prefix = draw.choice(("", "www.", "blog.", "m."))
+        values.append(f"('http{'s' * draw.randint(0, 1)}://{prefix}{host}.example.{ending}{path}', {label})")
     return spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS labelled(url, label)")
 
 
@@ -113,13 +156,14 @@ def features(df: DataFrame, url: str = "url") -> DataFrame:
         "f_labels": _count(host, r"[^.]+"),
         "f_hyphens": _count(host, "-"),
         "f_words": F.size(F.array_intersect(words, F.array(*map(F.lit, WORDS)))),
+        "f_mild": F.size(F.array_intersect(words, F.array(*map(F.lit, sorted(MILD))))),
         "f_escapes": _count(address, "%[0-9A-Fa-f]{2}"),
     }
     return df.withColumns({key: value.cast("double") for key, value in made.items()})
 
 
 FEATURES = (
-    "f_length f_host_length f_depth f_digit_ratio f_host_digits f_entropy f_params f_labels f_hyphens f_words f_escapes f_suffix"
+    "f_length f_host_length f_depth f_digit_ratio f_host_digits f_entropy f_params f_labels f_hyphens f_words f_mild f_escapes f_suffix"
 ).split()
 
 
@@ -129,6 +173,10 @@ class UrlModel:
     def __init__(self, trees: GBTClassificationModel, suffixes: dict[str, float]):
         self.trees, self.suffixes = trees, suffixes
 
+    def importances(self) -> dict[str, float]:
+        """How much each of FEATURES decides, all together 1."""
+        return dict(zip(FEATURES, map(float, self.trees.featureImportances.toArray())))
+
     def assembled(self, df: DataFrame, url: str = "url") -> DataFrame:
         return _assemble(features(df, url), self.suffixes)
 

@@ -195,6 +195,36 @@ def test_url_rules_and_parts(spark):
     assert urls.judge(df.limit(0), model, keep=["page_id"]).count() == 0
 
 
+def test_url_trees_decide_by_more_than_listed_words(spark):
+    model = urls.train(urls.labelled_urls(spark))
+    weights = model.importances()
+    print(sorted(((round(w, 3), name) for name, w in weights.items()), reverse=True))
+    assert weights["f_words"] < 0.5 and sum(w > 0.02 for w in weights.values()) >= 5
+    other = urls.labelled_urls(spark, 1000, seed=8)
+    labelled = urls.features(urls.split_url(other))
+    for name in [n for n in urls.FEATURES if n != "f_suffix"]:
+        low, high = (labelled.where(f"label = {k}").agg(F.min(name), F.max(name)).first() for k in (0, 1))
+        assert max(low[0], high[0]) < min(low[1], high[1]), name
+    judged = urls.judge(other, model, keep=["label"], rules=())
+    right = judged.where("(verdict = 'block') = (label = 1)").count()
+    print(right, "of 1000 made URLs of another seed")
+    assert right >= 850
+    wanted = {
+        "http://casino-royale.example.org/": "block",
+        "http://www.royale-poker.example.net/en/12": "block",
+        "https://x8k2q9z7w4v1.example.org/en/77": "block",
+        "https://qzvkxwjyhbpf39d.example.net/": "block",
+        "https://review-lab-4471.example.org/en/1?aff=88123%2F&cid=5512%2F&sub=91&clk=7": "block",
+        "http://city-farm.example.org/en/12": "allow",
+        "http://studio54.example.org/en/12": "allow",
+        "http://river-school.example.net/es/12?page=2&ref=x": "allow",
+        "http://m.ththth.example.org/es/12.html": "allow",
+    }
+    rows = spark.createDataFrame([(u,) for u in wanted], "url string")
+    got = {r.u: r.verdict for r in urls.judge(rows.withColumn("u", F.col("url")), model, keep=["u"], rules=()).collect()}
+    assert got == wanted
+
+
 def test_url_model_runs_no_python(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     plan = urls.judge(df, urls.train(urls.labelled_urls(spark)), keep=["page_id"])._jdf.queryExecution().toString()
