@@ -101,15 +101,21 @@ _PLAIN = _plain_letters()
 _ODD_CHARACTERS = frozenset("".join(_PLAIN) + _HIDDEN)
 _ODD = re.compile("[" + re.escape("".join(_PLAIN) + _HIDDEN) + "]")
 _WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
-#: A run of spelled digits and digits, three words at least, with at most a blank, hyphen, dot or comma between.
+#: A run of spelled digits and digits, with at most two blanks, hyphens, dots or commas between.
 _SPELLED = re.compile(
     rf"(?<![A-Za-z0-9])(?:plus[ -]+)?(?:{_WORD}|[0-9]+)(?![A-Za-z])"
     rf"(?:[ .,-]{{1,2}}(?:(?:point|dot)[ ]?)?(?:{_WORD}|[0-9]+)(?![A-Za-z]))*+",
     re.IGNORECASE,
 )
 _SPELLED_WORD = re.compile(rf"(?<![A-Za-z])(?:{_WORD}|plus|dot|point)(?![A-Za-z])", re.IGNORECASE)
-_ANY_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORD})[ .,-]{{1,2}}(?:{_WORD}|dot|point|[0-9])(?![A-Za-z])", re.IGNORECASE)
+#: A spelled digit with another one, a digit or a mark beside it.
+_ANY_SPELLED = re.compile(
+    rf"(?<![A-Za-z])(?:{_WORD})[ .,-]{{1,2}}(?:(?:{_WORD}|dot|point)(?![A-Za-z])|[0-9])"
+    rf"|(?:[0-9]|(?<![A-Za-z])(?:dot|point|plus))[ .,-]{{1,2}}(?:{_WORD})(?![A-Za-z])",
+    re.IGNORECASE,
+)
 _GAP = re.compile(r"[ ,]+")
+_BLANKS = re.compile(r"[ ,]+$")
 #: user at host dot name: words in brackets of any kind, or bare words if a dot word follows the at word.
 _BRACKET_AT = r"[ ]{0,2}[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]{0,2}"
 _BRACKET_DOT = r"[ ]{0,2}[\[({<][ ]?(?:dot|\.|point)[ ]?[\])}>][ ]{0,2}"
@@ -123,6 +129,12 @@ _DISGUISED = re.compile(
 )
 _DOT_WORD = re.compile(rf"{_BRACKET_DOT}|{_BARE_DOT}", re.IGNORECASE)
 _AT_WORD = re.compile(rf"{_BRACKET_AT}|{_BARE_AT}", re.IGNORECASE)
+#: What looks like `at host.name` in one token, and words that stand before a bare `at` in prose.
+_AT_HOST = re.compile(r"[ ]at[ ]{1,2}[A-Za-z0-9-]+\.[A-Za-z]", re.IGNORECASE)
+_PROSE = frozenset(
+    "available be been find found here hosted is are was were live located look looked looking looks me meet more now off online "
+    "open out page read see seen site start them there us up visit website work working works".split()
+)
 _HINTS = re.compile(r"[\[({<][ ]?(?:at|@|dot|\.|point)[ ]?[\])}>]|[ ]@|@[ ]|[ ]dot[ ]", re.IGNORECASE)
 
 
@@ -174,30 +186,46 @@ def letters(source: str) -> Reading:
     return reading
 
 
+def _beside(reading: Reading, at: int, end: int, after: str) -> int:
+    """Blanks and commas between a spelled digit and the digits that follow it are read as one blank."""
+    blanks = _GAP.match(reading.source, at, end)
+    if not blanks or after not in _DIGITS:
+        return at
+    reading.write(" ", *blanks.span())
+    return blanks.end()
+
+
 def digits(source: str) -> Reading:
-    """Runs with spelled digits read as digits; `plus` before them as a sign, `dot` and `point` between as dots."""
+    """Runs of two or more, one of them a spelled digit at least, read as digits; `plus` before them as a sign, `dot` and `point` between as dots."""
     reading, done = Reading(source), 0
     for run in _SPELLED.finditer(source):
         words = [word for word in _SPELLED_WORD.finditer(source, *run.span())]
-        if sum(word[0].lower() in _DIGITS for word in words) < 3:
+        if not any(word[0].lower() in _DIGITS for word in words) or len(words) == 1 and words[0].span() == run.span():
             continue
-        at, sign = run.start(), False
+        at, after = run.start(), ""
         reading.copy(done, at)
         for word in words:
             lower = word[0].lower()
             gap = source[at : word.start()]
             if gap and not _GAP.fullmatch(gap) or lower == "plus":
-                reading.copy(at, word.start())
+                at = _beside(reading, at, word.start(), after)
+                blanks = _BLANKS.search(source, at, word.start())
+                if blanks and lower != "plus":
+                    reading.copy(at, blanks.start())
+                    reading.write(" " if lower in _DIGITS else "", *blanks.span())
+                else:
+                    reading.copy(at, word.start())
             else:
                 reading.write("", at, word.start())
             reading.write({"plus": "+", "dot": ".", "point": "."}.get(lower) or _DIGITS[lower], *word.span())
-            at = word.end()
+            at, after = word.end(), lower
             if lower in ("plus", "dot", "point"):
                 skip = at
                 while skip < run.end() and source[skip] in " -":
                     skip += 1
                 reading.write("", at, skip)
                 at = skip
+        at = _beside(reading, at, run.end(), after)
         reading.copy(at, run.end())
         done = run.end()
     reading.copy(done, len(source))
@@ -207,15 +235,18 @@ def digits(source: str) -> Reading:
 def addresses(source: str) -> Reading:
     """`user (at) host (dot) name` and the like read as addresses.
 
-    Bare words count only if the host's last part is two to ten letters and `dot` is spelled too; so prose with
-    the word `at` stays as it is.
+    Bare words count only if the host's last part is two to ten letters and `dot` is spelled too, or the host is
+    one token with a last part in small letters and no word of prose before `at`; so other prose with `at` stays as it is.
     """
     reading, done = Reading(source), 0
     for match in _DISGUISED.finditer(source):
         host = match["host"]
         parts = [part for part in _DOT_WORD.split(host) for part in part.split(".")]
         spelled = _DOT_WORD.search(host)
-        if not (2 <= len(parts[-1]) <= 10 and parts[-1].isalpha()) or not (match["clear"] or spelled or "@" in match[0]):
+        if not (2 <= len(parts[-1]) <= 10 and parts[-1].isalpha()):
+            continue
+        token = parts[-1].islower() or host.isupper()
+        if not (match["clear"] or spelled or "@" in match[0] or token and match["user"].lower() not in _PROSE):
             continue
         marks = [(m.span(), ".") for m in _DOT_WORD.finditer(source, *match.span("user"))]
         middle = (match.end("user"), match.start("host"))
@@ -248,9 +279,10 @@ def _has_spelled(text: str) -> bool:
 
 def _has_address(text: str) -> bool:
     if "@" not in text and not any(mark in text for mark in "[({<"):
-        if " dot " not in text and " dot " not in text.lower():
+        lower = text.lower()
+        if " dot " not in lower and not (" at " in lower and _AT_HOST.search(lower)):
             return False
-    return bool(_HINTS.search(text))
+    return bool(_HINTS.search(text) or _AT_HOST.search(text))
 
 
 def disguised_spans(text: str) -> list[Span]:

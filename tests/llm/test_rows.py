@@ -127,6 +127,33 @@ def test_pii_reads_disguises(text, found, kind):
         assert [(text[s:e], k) for s, e, k in added] == [(found, kind)]
 
 
+@pytest.mark.parametrize(
+    ("text", "found", "kind"),
+    [
+        ("call +1 415 555 two six 71 today", "+1 415 555 two six 71", "phone"),
+        ("call +1 (415) 555 two 671", "+1 (415) 555 two 671", "phone"),
+        ("call plus one 415 555 2671.", "plus one 415 555 2671", "phone"),
+        ("pay 4111 1111 1111 11 one one", "4111 1111 1111 11 one one", "card"),
+        ("pay four 111 1111 1111 1111", "four 111 1111 1111 1111", "card"),
+        ("pay 4111 1111 1111, one  111", "4111 1111 1111, one  111", "card"),
+        ("ip 192.168.one.1 is up", "192.168.one.1", "ip"),
+        ("ip 192 dot 168 dot 1 dot one", "192 dot 168 dot 1 dot one", "ip"),
+        ("mail jane at example.com.", "jane at example.com", "email"),
+        ("mail jane.doe at mail.example.org now", "jane.doe at mail.example.org", "email"),
+        ("I have one 2 and 3 more", None, None),
+        ("pay 4111 1111 1111 11 one two", None, None),
+        ("ip 192.168.one.999", None, None),
+        ("look at example.com", None, None),
+        ("we left at noon.Then it rained", None, None),
+        ("one", None, None),
+    ],
+)
+def test_pii_reads_single_spelled_digits_and_bare_at(text, found, kind):
+    base, added = pii.spans_of(text)
+    assert [(text[s:e], k) for s, e, k in added] == ([(found, kind)] if found else [])
+    assert found is None or pii.masked(text, [*base, *added]) == text.replace(found, f"<{kind.upper()}>")
+
+
 def test_pii_look_alikes_are_single_characters():
     assert all(len(char) == 1 and len(plain) == 1 for char, plain in pii._PLAIN.items())
     assert pii._PLAIN["а"] == "a" and pii._PLAIN["＠"] == "@" and pii._PLAIN["４"] == "4"
