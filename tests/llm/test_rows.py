@@ -321,6 +321,15 @@ def test_html_main_text(page, text):
     assert html.main_text(page, html.grow(html.LABELLED)) == text
 
 
+@pytest.mark.parametrize("n", [10, 3000, 5000, 300_000])
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_html_attributes_of_any_length(n, quote):
+    page = f"<main><p data-x={quote}{'x' * n}> leaked <nav> words{quote}>main</p></main>"
+    assert [(b.text, b.main, b.aside) for b in html.blocks_of(page)] == [("main", True, False)]
+    # A quote that is never closed ends with the first `>`.
+    assert [b.text for b in html.blocks_of(f"<p title={quote}{'x' * n}>main</p>")] == ["main"]
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article>é", "t"), (1, "u", None, "t")], "page_id long, url string, html string, text string")
     assert [(r.text, r.n_chars) for r in html.extract(df).collect()] == [("é", 1), ("", 0)]
