@@ -19,13 +19,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, the one with the smallest id; documents without id stay."""
-    joined = stored(jaccard.join(docs).select("doc_id", "component_id"), "components").where("doc_id is not null")
-    kept = docs.join(jaccard.bounded(joined.where("component_id < doc_id").select("doc_id").distinct()), "doc_id", "left_anti")
+    """One row of each group of linked ones, one with the smallest id; documents without id stay.
+
+    Rows go by id and text, so rows with the same id and other texts are judged each by its own links; of rows with the
+    same id and text one stays.
+    """
+    row = ["doc_id", "text_key"]
+    joined = jaccard.join(docs, keys=True).select(*row, "component", "component_id")
+    joined = stored(joined, "components").where("doc_id is not null")
+    keyed = docs.withColumn("text_key", jaccard.text_key("text"))
+    kept = keyed.join(jaccard.bounded(joined.where("component_id < doc_id").select(row).distinct()), row, "left_anti")
     again = joined.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.take(1):
         return kept.select(docs.columns)
     again = jaccard.bounded(again)
+    # Of different texts with one id that are linked, the one with the smallest key.
+    smallest = joined.where("component_id = doc_id and component is not null").join(again, "doc_id", "left_semi")
+    first = smallest.groupBy("doc_id", "component").agg(F.min("text_key").alias("first"))
+    others = smallest.join(first, ["doc_id", "component"]).where("text_key <> first").select(row).distinct()
+    kept = kept.join(jaccard.bounded(others), row, "left_anti")
     once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 

@@ -250,6 +250,32 @@ def test_stages_take_effect(spark):
     assert last.count() == counts[4] and last.where("size(ids) <> n_tokens").count() == 0
 
 
+def test_jaccard_stage_judges_rows_not_ids(spark):
+    draw = random.Random(12)
+    x, y, z, w, v = (" ".join(prose(draw, 80)) for _ in range(5))
+    rows = [
+        (1, x),
+        (5, x + " tail"),  # goes: like row 1
+        (5, y),  # stays: like no other
+        (6, z),
+        (6, z + " tail"),  # one of the two stays
+        (6, w),  # stays, though the component has the same smallest id
+        (7, v),
+        (7, v.upper()),  # one of the two stays: equal sets
+        (7, v),
+        (8, w + " tail"),  # goes: like the third row of 6
+        (9, ""),
+        (9, None),
+        (None, x),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, SF).collect()]
+    assert sorted((i or 0, (t or "").lower()) for i, t in got if i not in (6, 9)) == sorted([(0, x), (1, x), (5, y), (7, v)])
+    of_six = [t for i, t in got if i == 6]
+    assert len(of_six) == 2 and w in of_six
+    assert sorted(str(t) for i, t in got if i == 9) == ["", "None"]
+
+
 def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
