@@ -101,6 +101,13 @@ def test_jaccard_join_of_awkward_rows(spark):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_join_puts_out_no_count_of_some_links(spark):
+    docs = spark.createDataFrame([(i, f"{'a b c d e f g h i j k l m n o p q r s t ' * 2}{i}") for i in range(3)], "doc_id long, text string")
+    joined = jaccard.join(docs)
+    assert joined.columns == ["doc_id", "n_shingles", "component_id"]
+    assert {row.component_id for row in joined.collect()} == {0}
+
+
 def test_word_hashes_are_those_of_the_words():
     hasher, texts = Hasher(lower=True), [b"A b\x0bc", b"", b"\t", b"c  a B", b"x" * 3_000_000]
     seen = {}
