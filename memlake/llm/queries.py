@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, chunks, decontaminate, html, jaccard, pii, quality, token_counts, toxicity, urls
+from memlake.llm import (
+    bpe,
+    chunks,
+    decontaminate,
+    html,
+    jaccard,
+    merkle,
+    pii,
+    quality,
+    secret_scan,
+    token_counts,
+    toxicity,
+    urls,
+)
 from memlake.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -81,6 +94,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *(f"n_{kind}" for kind in secret_scan.BASE_KINDS),
+        F.sha2(_written("base_spans"), 256).alias("base_sha256"),
+        _written("spans").alias("spans"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seventh = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.audit(_read(spark, sf_dir, "documents"), seventh)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -94,5 +122,7 @@ QUERIES = {
         op8_decontamination,
         op9_url_filters,
         op10_toxicity,
+        op11_secret_scan,
+        op12_merkle_manifest,
     )
 }

@@ -63,7 +63,8 @@ ALLOWED = (
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",  # UUIDs
     r"sha(?:1|224|256|384|512)-[A-Za-z0-9+/]+={0,2}",  # integrity digests
     r".*(?:EXAMPLE|example|PLACEHOLDER|placeholder|0123456789|abcdefghij|ABCDEFGHIJ).*",
-    r"(?:/?[A-Za-z]{1,15}[0-9]{0,4}[-_]?)+/(?:[A-Za-z]{1,15}[0-9]{0,4}[-_/]?)*",  # paths of words
+    r"(?=[^/]*+/)/?+(?:[A-Za-z]{1,15}+[0-9]{0,4}+(?:[-_/]|\Z))++",  # paths of words
+    r"(?:(?:[A-Z]{0,4}+[a-z]{3,15}+|[A-Z][a-z]{1,2}+(?=[A-Z]))[0-9]{0,4}+[-_/]?+)++",  # names of several words
     *map(re.escape, _EXAMPLES),
 )
 #: What may end right before a candidate that is an address' part or a named digest.
@@ -77,7 +78,8 @@ class Entropy:
     def __init__(self, width: int = WINDOW):
         self.width = width
         # A window's entropy is log2(width) - sum(c log2 c) / width over the counts c of its characters.
-        self.terms = [c * math.log2(c) if c else 0.0 for c in range(width + 1)]
+        # One character more than a window is counted for a moment.
+        self.terms = [c * math.log2(c) if c else 0.0 for c in range(width + 2)]
         self.most = math.log2(width)
 
     def windows(self, text: str) -> Iterator[tuple[int, float]]:
