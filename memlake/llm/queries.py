@@ -13,6 +13,7 @@ from memlake.llm import (
     html,
     jaccard,
     merkle,
+    negatives,
     pii,
     quality,
     secret_scan,
@@ -109,6 +110,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_read(spark, sf_dir, "documents"), seventh)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=moved)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -124,5 +130,6 @@ QUERIES = {
         op10_toxicity,
         op11_secret_scan,
         op12_merkle_manifest,
+        op13_hard_negatives,
     )
 }
