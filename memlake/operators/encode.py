@@ -102,6 +102,65 @@ def encode(
     return texts.mapInPandas(run, f"{fields}, dense array<float>{sparse_field}")
 
 
+#: A text that any working plug-in can encode: who fails on it too is down.
+PROBE = "a"
+
+
+def encode_isolated(
+    texts: DataFrame,
+    text_col: str,
+    encoder: Encoder,
+    dim: int | None = None,
+    batch: int = 1024,
+    probe: str = PROBE,
+) -> DataFrame:
+    """Like :func:`encode`, but a text that the plug-in fails on fails alone: adds ``dense``, ``sparse`` and ``problem``.
+
+    A batch that raises is halved until each failing text stands by itself; its vectors are null and ``problem``
+    says why, as it does for vectors that are not finite or have another dimension than ``dim``.  The others' vectors stay.
+    When a text has failed, the plug-in must still encode ``probe``: if it can't, it is down, which is no text's
+    fault, and its error is raised.
+    """
+    names = texts.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+
+    def encoded(part: list[str]):
+        dense, pairs = encoder(part)
+        if len(dense) != len(part) or len(pairs) != len(part):
+            raise ValueError("encoder returned another number of vectors than texts")
+        return dense, pairs
+
+    def checked(vector, pair):
+        vector = np.asarray(vector, dtype=np.float32)
+        if dim is not None and len(vector) != dim:
+            return None, None, "wrong dimension"
+        if not (np.isfinite(vector).all() and np.isfinite(np.asarray(pair[1], dtype=np.float32)).all()):
+            return None, None, "not finite"
+        return vector, {"indices": pair[0], "values": pair[1]}, None
+
+    def by_halves(part: list[str]) -> list[tuple]:
+        try:
+            return [checked(vector, pair) for vector, pair in zip(*encoded(part))]
+        except Exception as error:
+            if len(part) > 1:
+                middle = len(part) // 2
+                return by_halves(part[:middle]) + by_halves(part[middle:])
+            encoded([probe])
+            return [(None, None, f"{type(error).__name__}: {error}")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), batch):
+                out = frame.iloc[start : start + batch].copy()
+                made = by_halves([t or "" for t in out[text_col]])
+                out["dense"], out["sparse"], out["problem"] = (
+                    pd.Series(list(column), index=out.index, dtype=object) for column in zip(*made)
+                )
+                yield out[[*names, "dense", "sparse", "problem"]]
+
+    return texts.mapInPandas(run, f"{fields}, dense array<float>, sparse {SPARSE}, problem string")
+
+
 def hashed_encoder(dim: int = 64) -> Encoder:
     """A model-free plug-in: hashed bag of words, dense buckets and sparse terms.
 

@@ -313,6 +313,12 @@ SELECT d.doc_id, 64 AS dim, round(coalesce(sum(b.d), 0), 3) AS dense_total,
        coalesce(sum(n), 0)::BIGINT AS n_terms, round(coalesce(sum(b.s), 0), 3) AS sparse_total
 FROM documents d LEFT JOIN b ON b.id = d.doc_id GROUP BY d.doc_id"""
 
+ORACLE["isolated_failure"] = f"""WITH p AS {_postings('documents', 'doc_id', 'text')},
+b AS (SELECT id, count(*) AS n FROM p GROUP BY id)
+SELECT d.doc_id, CASE WHEN bad THEN 'ValueError: address in text' END AS problem,
+       CASE WHEN NOT bad THEN 64 END AS dim, CASE WHEN NOT bad THEN coalesce(n, 0) END AS n_terms
+FROM (SELECT doc_id, contains(coalesce(text, ''), '@') AS bad FROM documents) d LEFT JOIN b ON b.id = d.doc_id"""
+
 ORACLE["encode_check"] = """SELECT doc_id,
   CASE WHEN e.vec_id IS NULL THEN 'missing' ELSE 'wrong dimension' END AS problem
 FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id
@@ -544,6 +550,7 @@ _INT = {
     "build_prompts": ["part"],
     "decode_jobs": ["n_messages"],
     "encode_plugin": ["n_terms"],
+    "isolated_failure": ["dim", "n_terms"],
     "explode_turns": ["turn"],
     "gatekeeper": ["turn", "pos"],
     "assign_slots": ["turn", "pos"],

@@ -220,6 +220,21 @@ def encode_plugin(w: Workload) -> DataFrame:
     )
 
 
+@query
+def isolated_failure(w: Workload) -> DataFrame:
+    """An encoder that refuses texts with an address, over all documents: who fails, and that nobody else does."""
+    plain = encode.hashed_encoder(64)
+
+    def refusing(texts):
+        if any("@" in text for text in texts):
+            raise ValueError("address in text")
+        return plain(texts)
+
+    encoded = encode.encode_isolated(w.dealt("documents").select("doc_id", "text"), "text", refusing, dim=64)
+    n_terms = F.when(F.col("problem").isNull(), F.size("sparse.indices"))
+    return encoded.select("doc_id", "problem", F.size("dense").alias("dim"), n_terms.alias("n_terms"))
+
+
 @query
 def encode_check(w: Workload) -> DataFrame:
     vectors = w.vectors().withColumnRenamed("vec_id", "doc_id")

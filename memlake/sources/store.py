@@ -51,6 +51,8 @@ SCHEMAS = {
     ),
 }
 SCHEMAS["decoded"] = SCHEMAS["jobs"]
+SCHEMAS["encoded"] = SCHEMAS["general"] + ", problem string"
+SCHEMAS["failed"] = "seq bigint, problem string"
 SCHEMAS["lines"] = "value string, part int, line bigint"
 SCHEMAS["deletes"] = "request_id string, requested bigint, deleted bigint, missing bigint, status string"
 _KEY = ["user_id", "memory_id"]
@@ -129,11 +131,15 @@ class MemoryStore:
         row = self.spark.range(1).select(*named).coalesce(1)
         row.write.mode("overwrite").parquet(f"{self.root}/commits/kind={kind}/v={version}")
 
-    def stage(self, rows: DataFrame, name: str, version: int) -> DataFrame:
-        """Write rows as a table of a version and read them back, which ends their lineage."""
+    def stage(self, rows: DataFrame, name: str, version: int, part: int | None = None) -> DataFrame:
+        """Write rows as a table of a version and read them back, which ends their lineage.
+
+        A table that grows while its version is made has numbered parts.
+        """
         schema = StructType.fromDDL(SCHEMAS[name])
-        rows.select(schema.names).write.mode("overwrite").parquet(self._path(name, version))
-        return self.spark.read.schema(schema).parquet(self._path(name, version))
+        path = self._path(name if part is None else f"{name}-{part}", version)
+        rows.select(schema.names).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def log(self, name: str, before: int | None = None) -> DataFrame:
         """All committed rows of a per-version table, with their version ``v``."""

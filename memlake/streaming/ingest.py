@@ -10,14 +10,15 @@ are left out, so a replayed log changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from memlake.functions import content_id, fallback_query_text
 from memlake.operators import curate, rules
-from memlake.operators.encode import Encoder, encode, mark_query
+from memlake.operators.encode import Encoder, encode_isolated, mark_query
 from memlake.operators.requests import skip_gate
 from memlake.operators.retrieve import of_users
 from memlake.operators.state import core_ops, delete_audit, general_ops, last_ops
@@ -219,11 +220,16 @@ def ingest_batch(
     encoder: Encoder,
     expand: Callable[[Column], Column] = fallback_query_text,
     source: str = "batch",
+    dim: int | None = None,
 ) -> None:
     """Apply one batch of job lines (column ``value``, optionally ``seq`` or ``order``) as the next version.
 
     A batch that its source has delivered before, by its number, is left out.
 
+    A job with a text that the encoder fails on, or whose vector has not ``dim`` components, becomes a dead letter
+    with the reason, and none of its actions is applied; the others are, as if it had not come.  An encoder that
+    is down fails the batch instead, which then changes nothing and can be repeated.
+
     ``expand`` turns messages into the text to search with; a model's output
     can be joined in before by giving a line source of its own.
     """
@@ -241,15 +247,77 @@ def ingest_batch(
     # Encoding comes before anything is applied, and applying is one commit.
     # Only what outlives its batch is encoded.
     ops = last_ops(general_ops(actions))
-    inserts = encode(ops.where("is_insert"), "memory_text", encoder)
-    store.write_general(
-        ops.where("not is_insert").unionByName(inserts, allowMissingColumns=True), version
-    )
+    inserts = encode_isolated(ops.where("is_insert"), "memory_text", encoder, dim)
+    problems = Observation()
+    store.write_general(_with_deletes(ops, inserts.observe(problems, F.count("problem").alias("n"))), version)
+    if problems.get.get("n"):
+        failed, actions, inserts = _without_failing(accepted, store, version, planner, encoder, dim, actions)
+        store.write_general(_with_deletes(last_ops(general_ops(actions)), inserts), version)
+        # Made of what `jobs` was made of, and written over it.
+        jobs = store.stage(_dead(mark_replays(decoded, seen), failed), "jobs", version)
     store.write_core(core_ops(actions), version)
     store.stage(batch_audit(jobs, actions), "audit", version)
     store.commit(version, "delta", source, batch_id)
 
 
+def _with_deletes(ops: DataFrame, inserts: DataFrame) -> DataFrame:
+    return ops.where("not is_insert").unionByName(inserts.drop("problem"), allowMissingColumns=True)
+
+
+def _without_failing(
+    accepted: DataFrame,
+    store: MemoryStore,
+    version: int,
+    planner: Planner,
+    encoder: Encoder,
+    dim: int | None,
+    actions: DataFrame,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(failed, actions, inserts) once no text that is to be stored fails: jobs that bring one are left out.
+
+    What is left is planned anew, for a job that failed may have replaced what another one says.  That may
+    bring up texts not tried before, so it goes on until there is no new failure; each text is encoded once.
+    """
+    key = ["user_id", "memory_id"]
+    encoded = failed = None
+    for part in count():
+        wanted = last_ops(general_ops(actions)).where("is_insert")
+        fresh = wanted if encoded is None else wanted.join(encoded.select(key), key, "left_anti")
+        made = store.stage(encode_isolated(fresh, "memory_text", encoder, dim), "encoded", version, part)
+        encoded = made if encoded is None else encoded.unionByName(made)
+        bad = made.where("problem is not null")
+        if bad.isEmpty():
+            # Of texts that failed before none is wanted any more: the jobs that bring one are gone.
+            return failed, actions, encoded.join(wanted.select(key), key, "left_semi")
+        bringing = general_ops(actions).where("is_insert").join(bad.select(*key, "problem"), key)
+        newly = bringing.groupBy("seq").agg(F.min("problem").alias("problem"))
+        newly = store.stage(newly, "failed", version, part)
+        failed = newly if failed is None else failed.unionByName(newly)
+        left = accepted.join(failed.select("seq"), "seq", "left_anti").select(accepted.columns)
+        actions = store.stage(planner(left, store, version, encoder), "actions", version)
+
+
+def _dead(jobs: DataFrame, failed: DataFrame) -> DataFrame:
+    """Jobs of which those that ``failed`` are dead, with the reason and, as their line, what was decoded."""
+    ill = F.col("problem").isNotNull()
+    wire = F.to_json(
+        F.struct(
+            F.col("req_id").alias("ReqId"),
+            F.col("user_id").alias("UserId"),
+            F.col("messages").alias("Messages"),
+            F.col("threshold").alias("Threshold"),
+        )
+    )
+    marked = jobs.join(failed, "seq", "left").withColumns(
+        {
+            "status": F.when(ill, "dead").otherwise(F.col("status")),
+            "reason": F.when(ill, F.col("problem")).otherwise(F.col("reason")),
+            "raw": F.when(ill, wire).otherwise(F.col("raw")),
+        }
+    )
+    return marked.select(jobs.columns)
+
+
 def ingest_stream(
     lines: DataFrame,
     store: MemoryStore,
