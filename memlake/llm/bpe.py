@@ -18,6 +18,8 @@ from memlake.llm.batches import map_batches
 PART = 100_000
 #: A character that is no white space, then a blank: a safe place to cut is between them.
 _SAFE = re.compile(r"\S(?= )")
+#: White space as the library's patterns have it: Unicode's property, without the separators 0x1C to 0x1F.
+_BLANK = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 def load(rank_path: str, pattern: str) -> tiktoken.Encoding:
@@ -41,13 +43,34 @@ def safe_parts(text: str, size: int = PART) -> Iterator[str]:
     yield text[start:]
 
 
+def long_blanks(text: str, size: int = PART) -> Iterator[tuple[str, bool]]:
+    """`text` in parts; True marks a part that is one match of a GPT-2 style pattern: white space of `size` characters or more.
+
+    Such a pattern takes a run of white space in one match, but for the last character if other text follows, which
+    goes with that. No match reaches into the run from before. The library's regex fails on runs of about a million.
+    """
+    start = 0
+    for run in re.finditer(f"(?<!{_BLANK}){_BLANK}{{{size},}}+", text):
+        end = run.end() - (run.end() < len(text))
+        yield text[start : run.start()], False
+        yield text[run.start() : end], True
+        start = end
+    yield text[start:], False
+
+
 def encode_text(encoding: tiktoken.Encoding, text: str | None) -> np.ndarray:
     """The ids of a whole text; null or empty: none."""
     if not text:
         return np.zeros(0, np.int32)
     if len(text) <= PART:
         return np.array(encoding.encode_ordinary(text), np.int32)
-    return np.concatenate([np.array(encoding.encode_ordinary(part), np.int32) for part in safe_parts(text)])
+    ids = []
+    for part, single in long_blanks(text):
+        if single:
+            ids.append(encoding._encode_single_piece(part))
+        else:
+            ids += map(encoding.encode_ordinary, safe_parts(part))
+    return np.concatenate([np.array(part, np.int32) for part in ids])
 
 
 def encode(

@@ -54,6 +54,29 @@ def test_bpe_equals_the_library(spark, awkward):
         assert row.decoded_sha256 == hashlib.sha256((row.text or "").encode()).hexdigest()
 
 
+def test_bpe_long_white_space_is_one_match():
+    encoding = bpe.load(RANK_PATH, PATTERN)
+    draw = random.Random(13)
+    alphabet = [" ", " ", "\n", "\t", "\r\n", "\x1c", "\x85", "\u3000", "\xa0", "a", "é1", "!", "'s", "\u200b"]
+    for _ in range(5000):
+        text = "".join(draw.choice(alphabet) for _ in range(draw.randrange(30)))
+        parts = list(bpe.long_blanks(text, 3))
+        assert "".join(part for part, _ in parts) == text
+        ids = []
+        for part, single in parts:
+            ids += encoding._encode_single_piece(part) if single else encoding.encode_ordinary(part)
+        assert ids == encoding.encode_ordinary(text), repr(text)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t \n", "\u3000\r\n"])
+def test_bpe_encodes_millions_of_blanks(run):
+    encoding = bpe.load(RANK_PATH, PATTERN)
+    for before, after in (("", ""), ("word", "word"), ("word ", "!")):
+        text = before + run * (3_000_000 // len(run)) + after
+        ids = bpe.encode_text(encoding, text)
+        assert encoding.decode_bytes(ids.tolist()).decode() == text
+
+
 def test_bpe_parts_are_safe():
     encoding = bpe.load(RANK_PATH, PATTERN)
     draw = random.Random(3)
