@@ -56,8 +56,10 @@ def test_jaccard_join_equals_brute_force(spark, seed, monkeypatch):
     draw = random.Random(seed)
     # So that blocks, slices and both kinds of open buckets are met on few rows.
     monkeypatch.setattr(jaccard, "SMALL", 4)
-    monkeypatch.setattr(jaccard, "QUERIES", 8)
-    monkeypatch.setattr(jaccard, "MEMBERS", 16)
+    monkeypatch.setattr(jaccard, "QUERY_SHINGLES", 300)
+    monkeypatch.setattr(jaccard, "MEMBER_SHINGLES", 900)
+    monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 500)
+    monkeypatch.setattr(jaccard, "HELD_SHINGLES", 4000)
     monkeypatch.setattr(jaccard, "COMMON_IN_BATCH", 3)
     texts = [None, "", " \t", "one two", "ONE two", "one  two", "a b c d", "Éa b c d e", "éa b c d e"]
     common = " ".join(prose(draw, 14))
