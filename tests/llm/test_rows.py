@@ -284,6 +284,46 @@ def test_trie_shares_prefixes_and_keeps_terminal_counts():
     assert len(trie.scores) == 1 + 3 + 1 and sorted(trie.terminal) == [0, 0, 1, 1, 2]
 
 
+def test_trie_looks_up_no_substring_that_ends_no_piece():
+    class Watched(dict):
+        looked_up = 0
+
+        def get(self, *key):
+            Watched.looked_up += 1
+            return super().get(*key)
+
+    trie = token_counts.Trie(Watched({"a": -1.0, "b" * 16: -1.0}))
+    assert trie.insert("acac" * 8) == 32 and Watched.looked_up <= 32
+
+
+def test_words_in_bulk_equal_words_alone():
+    draw = random.Random(4)
+    letters = ["a", "b", "é", "日", "🙂", "\x00", "▁"]
+    text = lambda most: "".join(draw.choices(letters, k=draw.randint(1, most)))
+    # Few different scores, so that many segmentations are equally good.
+    pieces = {text(5): -draw.randint(1, 3) * 1.0 for _ in range(60)}
+    matches = token_counts.Matches(pieces)
+
+    def plain(word):
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            size = len(word[end - 1].encode())
+            now = (best[-1][0] + token_counts.BYTE_SCORE * size, best[-1][1] + size)
+            for start in range(end - 1, -1, -1):
+                score = best[start][0] + pieces.get(word[start:end], -1e9)
+                if score > now[0]:
+                    now = (score, best[start][1] + 1)
+            best.append(now)
+        return best[-1][1]
+
+    trie = token_counts.Trie(pieces)
+    for _ in range(20):
+        words = sorted({text(12) for _ in range(50)})
+        want = [plain(word) for word in words]
+        assert trie.insert_all(words, [1] * len(words)) == want
+        assert [token_counts.count_alone(word, matches) for word in words] == want
+
+
 # --- op5
 
 
