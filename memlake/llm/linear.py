@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import islice
+
 import numpy as np
 
+#: Rows that are worked on at a time.
+BLOCK = 128
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
 class Rows:
-    """Sparse rows: row i has `values[k]` in column `columns[k]` for k from ends[i-1] to ends[i]."""
+    """Sparse rows, given as (columns, values) of each; kept and worked through in blocks, so that steps copy little."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
-        self.n, self.width = len(rows), width
-        self.index = np.repeat(np.arange(self.n), [len(columns) for columns, _ in rows])
-        self.columns = np.concatenate([columns for columns, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.values = np.concatenate([values for _, values in rows]) if rows else np.zeros(0)
+    def __init__(self, rows: Iterable[tuple[np.ndarray, np.ndarray]], width: int):
+        self.n, self.width, self.blocks = 0, width, []
+        rows = iter(rows)
+        while block := list(islice(rows, BLOCK)):
+            index = np.repeat(np.arange(len(block), dtype=np.int32), [len(columns) for columns, _ in block])
+            columns, values = (np.concatenate(parts) for parts in zip(*block))
+            self.blocks.append((slice(self.n, self.n + len(block)), index, columns, values))
+            self.n += len(block)
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, self.values * weights[self.columns], self.n)
+        out = np.zeros(self.n)
+        for rows, index, columns, values in self.blocks:
+            out[rows] = np.bincount(index, values * weights[columns], rows.stop - rows.start)
+        return out
 
     def back(self, errors: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, self.values * errors[self.index], self.width)
+        out = np.zeros(self.width)
+        for rows, index, columns, values in self.blocks:
+            np.add.at(out, columns, values * errors[rows][index])
+        return out
 
 
 def fit(rows: Rows, labels: np.ndarray, steps: int = 200, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:

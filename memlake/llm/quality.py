@@ -6,6 +6,8 @@ from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,21 +136,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
         return work
 
     made = map_batches(rows, ["doc_id", "quality"], ["text"], "columns array<int>, amounts array<float>", start)
-    table = made.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")]).slice(0, 2 * sample)
-    labelled = 1 - table["quality"].to_numpy().astype(np.int64)
+    table = made.toArrow()
+    order = pc.sort_indices(table, [("doc_id", "ascending"), ("quality", "ascending")]).to_numpy()[: 2 * sample]
+    labelled = 1 - table["quality"].to_numpy()[order].astype(np.int64)
     if len(set(labelled.tolist())) < 2:
         return Classifier()
-    sparse = [
-        (np.asarray(columns.values), np.asarray(amounts.values, np.float64))
-        for columns, amounts in zip(table["columns"], table["amounts"])
-    ]
-    held = np.arange(len(sparse)) % 4 == 3
+    held = np.arange(len(order)) % 4 == 3
     if len(set(labelled[held].tolist())) < 2 or labelled[held].sum() < 20:
         held[:] = False
     fitted = np.flatnonzero(~held)
-    weights, bias = fit(Rows([sparse[i] for i in fitted], 2 * BUCKETS), labelled[fitted])
     checked = np.flatnonzero(held) if held.any() else fitted
-    scores = Rows([sparse[i] for i in checked], 2 * BUCKETS).times(weights) + bias
+
+    def sparse(chosen: np.ndarray) -> Rows:
+        pairs = ((table["columns"][i], table["amounts"][i]) for i in order[chosen].tolist())
+        return Rows(((columns.values.to_numpy(), amounts.values.to_numpy()) for columns, amounts in pairs), 2 * BUCKETS)
+
+    fitting, checking = sparse(fitted), sparse(checked)
+    # The driver has little memory: what came goes before the fit begins.
+    del table
+    pa.default_memory_pool().release_unused()
+    weights, bias = fit(fitting, labelled[fitted])
+    scores = checking.times(weights) + bias
     return Classifier(weights.astype(np.float32), bias, *calibrate(scores, labelled[checked]))
 
 

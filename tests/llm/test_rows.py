@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from memlake.llm import bpe, chunks, html, pii, quality, stages, token_counts, toxicity
+from memlake.llm import bpe, chunks, html, linear, pii, quality, stages, token_counts, toxicity
 from memlake.llm.queries import PIECES, RANKS
 
 RANK_PATH, PATTERN = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
@@ -434,6 +436,18 @@ def test_toxicity_without_labels(spark, awkward):
     assert len(rows) == len(AWKWARD) + 1 and not any(row.predicted for row in rows)
 
 
+def test_a_fit_takes_little_memory_besides_its_rows():
+    draw = np.random.default_rng(1)
+    rows = [(draw.integers(0, 1 << 16, 500).astype(np.int32), draw.random(500).astype(np.float32)) for _ in range(2000)]
+    labels = draw.integers(0, 2, len(rows))
+    tracemalloc.start()
+    linear.fit(linear.Rows(rows, 1 << 16), labels, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Each of the million cells needs 12 bytes: row, column, value.
+    assert peak < 22e6
+
+
 # --- empty tables
 
 
