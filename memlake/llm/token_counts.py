@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -92,12 +91,6 @@ class Matches:
         return out
 
 
-@lru_cache(1)
-def matches_of(model_path: str) -> Matches:
-    """The automaton of a piece file; a worker makes it once for all its tasks."""
-    return Matches(load(model_path))
-
-
 def _get(table: dict[int, int], keys: np.ndarray) -> np.ndarray:
     """The values of many keys, -1 where there is none."""
     return np.fromiter(map(table.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
@@ -110,8 +103,8 @@ class Trie:
     good segmentations the one with the shortest last piece counts.
     """
 
-    def __init__(self, pieces: dict[str, float], matches: Matches | None = None):
-        self.matches = matches or Matches(pieces)
+    def __init__(self, pieces: dict[str, float]):
+        self.matches = Matches(pieces)
         self.clear()
 
     def clear(self) -> None:
@@ -217,8 +210,8 @@ def words_of(text: str | None) -> list[str]:
 class Counting:
     """Counts tokens batch by batch with one trie for a task."""
 
-    def __init__(self, pieces: dict[str, float], matches: Matches | None = None):
-        self.trie = Trie(pieces, matches)
+    def __init__(self, pieces: dict[str, float]):
+        self.trie = Trie(pieces)
 
     def counts(self, texts: Iterable[str | None]) -> tuple[list[int], list[int]]:
         rows = [text.encode().split() if text else [] for text in texts]
@@ -248,7 +241,7 @@ def count(df: DataFrame, model_path: str, text: str = "text", keep: list[str] |
     """
 
     def start():
-        counting = Counting({}, matches_of(model_path))
+        counting = Counting(load(model_path))
         return lambda texts: counting.counts(texts)
 
     return map_batches(df, df.columns if keep is None else keep, [text], "n_words long, n_tokens long", start)
