@@ -44,8 +44,11 @@ def run_log(spark: SparkSession, sf_dir: str, deliveries: list[str] | None = Non
     """
     root = work_dir(spark, "ingest")
     log = f"{root}/log"
-    jobs = Workload(spark, sf_dir).statement_jobs()
-    spark.createDataFrame([], "value string, seq bigint").write.parquet(log)
+    schema = "value string, seq bigint"
+    # Put together once, whatever is delivered how often.
+    _line(Workload(spark, sf_dir).statement_jobs()).write.parquet(f"{root}/jobs")
+    jobs = spark.read.schema(schema).parquet(f"{root}/jobs")
+    spark.createDataFrame([], schema).write.parquet(log)
     half = F.floor(jobs.agg(F.max("seq")).scalar() / 2)
     parts = {
         "early": jobs.where(F.col("seq") < half),
@@ -54,8 +57,8 @@ def run_log(spark: SparkSession, sf_dir: str, deliveries: list[str] | None = Non
     }
     store = MemoryStore.create(spark, f"{root}/store")
     for name in deliveries or ["early", "late"]:
-        _line(parts[name]).write.mode("append").parquet(log)
-        lines = job_stream(spark, log, "parquet", "value string, seq bigint")
+        parts[name].write.mode("append").parquet(log)
+        lines = job_stream(spark, log, "parquet", schema)
         ingest_stream(
             lines, store, RulePlanner(), hashed_encoder(), f"{root}/checkpoint", expand=expand
         ).awaitTermination()

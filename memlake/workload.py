@@ -207,8 +207,10 @@ class Workload:
         return self._actions("core", text, delete)
 
     def _req_id(self) -> Column:
-        job = whole("event_id", ACTIONS_PER_JOB).cast("string")
-        return F.concat_ws("-", F.concat(F.lit("r"), F.col("user_id")), job)
+        return self._job_id(whole("event_id", ACTIONS_PER_JOB))
+
+    def _job_id(self, seq: Column) -> Column:
+        return F.concat_ws("-", F.concat(F.lit("r"), F.col("user_id")), seq.cast("string"))
 
     def raw_actions(self) -> DataFrame:
         """Actions as a planner might write them, some of them wrong; targets are ordinals."""
@@ -313,14 +315,11 @@ class Workload:
         said = F.struct("event_id", self.statement().alias("content"))
         return (
             self.events()
-            .groupBy(
-                self._req_id().alias("req_id"),
-                "user_id",
-                whole("event_id", ACTIONS_PER_JOB).alias("seq"),
-            )
+            # A job's id is made of both, so it need not travel.
+            .groupBy("user_id", whole("event_id", ACTIONS_PER_JOB).alias("seq"))
             .agg(F.array_sort(F.collect_list(said)).alias("m"))
             .select(
-                "req_id",
+                self._job_id(F.col("seq")).alias("req_id"),
                 "user_id",
                 "seq",
                 F.transform(

@@ -8,6 +8,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from memlake.plans import streams
+from memlake.workload import Workload
 from memlake.operators.encode import hashed_encoder
 from memlake.plans.read import get_memories
 from memlake.sources import MemoryStore, emit_jobs, job_stream, publish_jobs
@@ -237,3 +239,23 @@ def test_each_text_is_encoded_once(spark, tmp_path):
     assert get_memories(requests, store.general(), store.core(), counting).count() == 2
     seen = sorted(t for f in log.iterdir() for t in f.read_text().split("\n") if t)
     assert seen == ["_Query_jazz", "_Query_tea", "taste: like jazz", "taste: like tea"]
+
+
+def test_jobs_of_a_log_are_put_together_once_however_often_they_are_delivered(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(req_id):
+        made.add(1)
+        return req_id
+
+    class Done:
+        def awaitTermination(self):
+            pass
+
+    whole = Workload.statement_jobs
+    monkeypatch.setattr(Workload, "statement_jobs", lambda self: whole(self).withColumn("req_id", counted("req_id")))
+    monkeypatch.setattr(streams, "ingest_stream", lambda *args, **options: Done())
+    sf_dir = "/root/testdata/sf0.001"
+    streams.run_log(spark, sf_dir, ["early", "late", "again"])
+    assert made.value == whole(Workload(spark, sf_dir)).count()
