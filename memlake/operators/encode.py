@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from memlake.functions.binding import let
 from memlake.functions.vectors import TERM_BREAK, sparse_vector
 from memlake.schema import QUERY_MARKER, SPARSE
+from memlake.sources.workdir import work_dir
 
 #: A plug-in maps a batch of texts to one dense vector and one (indices,
 #: values) pair per text, in the same order.
@@ -75,6 +76,47 @@ def gather_vectors(
     )
 
 
+#: Terms whose weights are broadcast, at most: those that most texts have.
+FREQUENT = 1 << 18
+
+
+def weighted_vectors(
+    texts: DataFrame, id_col: str, text_col: str, normalise: bool = False, frequent: int = FREQUENT
+) -> DataFrame:
+    """Sparse vectors ``(id, sparse)`` of texts, terms weighed by ``ln(1 + N / df)``.
+
+    What :func:`gather_vectors` makes of :func:`sparse_postings` and
+    :func:`inverse_document_frequency`.  Vectors are made once and stored.
+    Terms in so many texts that there can be ``frequent`` of them at most get
+    their weights by broadcast, where their text is; only postings of the
+    others meet by term, and none of those has many.
+    """
+    spark, root = texts.sparkSession, work_dir(texts.sparkSession, "vectors")
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{root}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
+
+    vectors = kept(texts.select(F.col(id_col).alias("id"), sparse_vector(text_col).alias("sparse")), "sparse")
+    counts = kept(
+        vectors.select(F.explode("sparse.indices").alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("df")), "df"
+    )
+    # Of all postings 1 / frequent at least belong to each of them.
+    least = -(-(counts.agg(F.sum("df")).first()[0] or 0) // frequent)
+    weights = counts.select("idx", "df", F.log1p(F.lit(vectors.count()) / F.col("df")).alias("idf"))
+    common = F.broadcast(weights.where(F.col("df") >= least).drop("df"))
+    postings = vectors.select(
+        "id", F.explode(F.arrays_zip(F.col("sparse.indices").alias("idx"), F.col("sparse.values").alias("w"))).alias("p")
+    ).select("id", "p.idx", "p.w")
+
+    def weighed(rows: DataFrame, idf: DataFrame) -> DataFrame:
+        return rows.join(idf, "idx").select("id", "idx", (F.col("w") * F.col("idf")).cast("float").alias("w"))
+
+    rest = postings.join(common.select("idx"), "idx", "left_anti")
+    both = weighed(postings, common).unionByName(weighed(rest, weights.where(F.col("df") < least).drop("df")))
+    return gather_vectors(both, normalise=normalise)
+
+
 def encode(
     texts: DataFrame, text_col: str, encoder: Encoder, sparse: bool = True, batch: int = 1024
 ) -> DataFrame:

@@ -191,9 +191,7 @@ def sparse_encode(w: Workload) -> DataFrame:
 
 @query
 def sparse_encode_idf(w: Workload) -> DataFrame:
-    postings = encode.sparse_postings(w.dealt("documents"), "doc_id", "text")
-    idf = encode.inverse_document_frequency(postings, w.table("documents").agg(F.count(F.lit(1))))
-    vectors = encode.gather_vectors(postings, idf, normalise=True)
+    vectors = encode.weighted_vectors(w.dealt("documents"), "doc_id", "text", normalise=True)
     return vectors.select(
         F.col("id").alias("doc_id"),
         F.size("sparse.indices").alias("n_terms"),

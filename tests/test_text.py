@@ -18,6 +18,7 @@ from memlake.functions import (
     trim_space,
     trim_user_key,
 )
+from memlake.operators import encode
 
 SCHEMA = "id int, messages array<struct<role:string,content:string>>"
 WHITE = (
@@ -144,3 +145,23 @@ def test_trims(spark):
 def test_normalised_facts(spark):
     df = spark.createDataFrame([("  Likes  TEA!. ",), ("likes tea",)], "t string")
     assert {r[0] for r in df.select(normalise_fact("t")).collect()} == {"likes tea"}
+
+
+def test_terms_weighed_by_broadcast_and_by_shuffle_make_the_same_vectors(spark):
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    # Some words are in most texts, most in few; ids repeat, texts can be empty or null.
+    said = [(i % 180, " ".join(w for n, w in enumerate(words) if draw.random() < 3 / (n + 3))) for i in range(200)]
+    texts = spark.createDataFrame([*said, (900, ""), (901, None)], "doc_id long, text string")
+    postings = encode.sparse_postings(texts, "doc_id", "text")
+    idf = encode.inverse_document_frequency(postings, texts.agg(F.count(F.lit(1))))
+
+    def rows(vectors):
+        return {r.id: (list(r.sparse.indices), [round(x, 5) for x in r.sparse.values]) for r in vectors.collect()}
+
+    for normalise in (False, True):
+        want = rows(encode.gather_vectors(postings, idf, normalise))
+        for frequent in (1, 20, 1 << 18):
+            assert rows(encode.weighted_vectors(texts, "doc_id", "text", normalise, frequent)) == want
+    nothing = encode.weighted_vectors(texts.where("false"), "doc_id", "text")
+    assert nothing.count() == 0
