@@ -28,7 +28,9 @@ def content_id(name: Column | str) -> Column:
             F.substring(h, 21, 12),
         )
 
-    return let(digest, layout)
+    # Never null (a null name has an empty id), and said to be so: joins by id then ask for nothing more, and plans that
+    # shuffle the same rows by id can share the shuffle.
+    return F.coalesce(let(digest, layout), F.lit(""))
 
 
 def memory_id(text: Column | str, user_id: Column | str) -> Column:

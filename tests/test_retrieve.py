@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators import retrieve
+from memlake.plans.queries import QUERIES
 from memlake.schema import SPARSE
 
 QUERY = f"query_id string, user_id string, threshold double, dense array<float>, sparse {SPARSE}"
@@ -167,3 +170,13 @@ def test_sizes_that_lack_a_user_lose_nothing(spark, corpus):
     few = memories.where("user_id <> 'b'").groupBy("user_id").agg(F.count("*").alias("n_memories"))
     got = retrieve.dense_topk(queries, memories, 3, memory_sizes=few)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_texts_are_shuffled_once_for_search_and_results(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows what it shares before it runs
+    try:
+        found = QUERIES["retrieve_with_core"](spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(re.findall(r"FileScan parquet \[doc_id#\d+L,text#\d+\]", plan)) == 1
