@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,24 @@ def test_jaccard_join_puts_out_no_count_of_some_links(spark):
     assert {row.component_id for row in joined.collect()} == {0}
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {path for path in files.split("\n") if "/shuffle_" in path}
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    kept = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffle_files(spark), spark.conf.get(kept, None)
+    lists = stored(spark.range(50_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.collect_list("id").alias("ids")), "lists")
+    for _ in range(40):  # they are removed in the background
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.25)
+    assert not left and spark.conf.get(kept, None) == was
+    assert lists.select(F.sum(F.size("ids"))).first()[0] == 50_000
+
+
 def test_word_hashes_are_those_of_the_words():
     hasher, texts = Hasher(lower=True), [b"A b\x0bc", b"", b"\t", b"c  a B", b"x" * 3_000_000]
     seen = {}
