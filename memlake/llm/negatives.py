@@ -250,14 +250,15 @@ def _first(
 ) -> DataFrame:
     """(anchor, slot, rank, row, id, score): the first `k` for each anchor and slot over all trees.
 
-    Every block of anchors meets every tree, and at most `k` rows for each slot come out of a meeting.
+    Every block of anchors meets every tree, and at most `k` rows for each slot come out of a meeting. Both go by shuffles:
+    packed vectors, and one block for each tree, are far more than Spark estimates, so neither side is ever broadcast.
     """
     names = ("vectors", "rows", "labels", "low", "high")
     dealt = _blocks(anchors, blocks, slots, dims).select(
         *(F.col(name).alias(f"a_{name}") for name in names),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
     )
-    met = dealt.join(trees, "shard")
+    met = dealt.join(trees.hint("merge"), "shard")
 
     def start():
         def work(*columns):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -143,6 +144,18 @@ def test_mine_equals_plain_loops(spark, monkeypatch):
     assert mined(frame(spark, rows)) == want
 
 
+def test_blocks_and_trees_do_not_pass_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "TREE_ROWS", 64)
+    draw = random.Random(3)
+    rows = [(i, [draw.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = negatives.mine(df, F.col("vec_id") % 5 == 0)
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()  # as it ran
+    joins = [line for line in plan.splitlines() if re.search(r"Join \[shard", line)]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_too_large_vectors_take_no_part(spark):
     rows = [(5, [1.0], 0), (6, [1.0], 0), (7, [0.7], 1), (8, [1e300], 1), (9, [-6e5], 1)]
     assert mined(frame(spark, rows)) == [(5, 6, 1, 7, 65536, 179 * 256)]
